@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media
+from . import bpe, media, token_binary
 from .common import table
 
 
@@ -11,6 +11,7 @@ def _on(name, f):
 
 
 QUERIES = {
+    "op3_token_binary": _on("documents", token_binary.op3),
     "op8_telephony_audio": _on("documents", media.op8),
     "op10_tree_bpe": _on("documents", bpe.op10),
 }
