@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, media, token_binary
+from . import bpe, html_extract, media, secret_scan, token_binary
 from .common import table
 
 
@@ -11,6 +11,7 @@ def _on(name, f):
 
 
 QUERIES = {
+    "op7_credential_linking": _on("documents", secret_scan.op7),
     "op1_html_extraction": _on("pages", html_extract.op1),
     "op3_token_binary": _on("documents", token_binary.op3),
     "op8_telephony_audio": _on("documents", media.op8),
