@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, media, secret_scan, simhash, token_binary
+from . import bpe, html_extract, media, secret_scan, simhash, substring_dedup, token_binary
 from .common import table
 
 
@@ -11,6 +11,7 @@ def _on(name, f):
 
 
 QUERIES = {
+    "op6_super_kmer_dedup": _on("documents", substring_dedup.op6),
     "op5_simhash_pigeonring": _on("documents", simhash.op5),
     "op7_credential_linking": _on("documents", secret_scan.op7),
     "op1_html_extraction": _on("pages", html_extract.op1),
