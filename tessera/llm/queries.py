@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, media, secret_scan, simhash, substring_dedup, token_binary
+from . import bpe, decontaminate, html_extract, language_id, media, secret_scan, simhash, substring_dedup, token_binary
 from .common import table
 
 
@@ -11,6 +11,8 @@ def _on(name, f):
 
 
 QUERIES = {
+    "op2_language_evidence": _on("documents", language_id.op2),
+    "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_super_kmer_dedup": _on("documents", substring_dedup.op6),
     "op5_simhash_pigeonring": _on("documents", simhash.op5),
     "op7_credential_linking": _on("documents", secret_scan.op7),
