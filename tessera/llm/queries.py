@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, language_id, media, secret_scan, simhash, substring_dedup, token_binary
+from . import bpe, decontaminate, html_extract, language_id, media, secret_scan, simhash, substring_dedup, token_binary, warc_revisit
 from .common import table
 
 
@@ -11,6 +11,7 @@ def _on(name, f):
 
 
 QUERIES = {
+    "op4_warc_revisits": _on("pages", warc_revisit.op4),
     "op2_language_evidence": _on("documents", language_id.op2),
     "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_super_kmer_dedup": _on("documents", substring_dedup.op6),
@@ -21,4 +22,4 @@ QUERIES = {
     "op8_telephony_audio": _on("documents", media.op8),
     "op10_tree_bpe": _on("documents", bpe.op10),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc_revisits": warc_revisit.OP4_SQL}
