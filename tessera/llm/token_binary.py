@@ -30,22 +30,30 @@ import struct
 import zlib
 from array import array
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import piece_pattern
 from .common import LAST_ID, chunks, discard, map_arrow, text_of, written
+from .substring_dedup import BYTES, POWERS, mixed
 
 SCALE, LANES, BLOCK, EVERY, SEGMENT = 20, 32, 32768, 256, 1 << 18
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIIIQQQQ")
 BHEAD = struct.Struct("<IIIII")
 END_ID = 2
+ID = attrgetter("id")
 #: Rows of the partitions' totals that may be broadcast.
 MOST_PARTITIONS = 1_000_000
+#: Blocks that take their steps together.
+WIDE = 128
+#: Classes of bytes: 0 ASCII white space, 1 letter, 2 digit, 3 other, 4 to be looked at by the pattern itself.
+CLASS = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 4 if b > 127 or b == 39 or b in (28, 29, 30, 31) else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 
 
 class Kept(dict):
@@ -70,12 +78,14 @@ class Kept(dict):
 class FastTokens:
     """Ids of a byte-level BPE tokenizer file, as 16- or 32-bit arrays.
 
-    A space before a character that is no white space starts a piece whatever comes before it, so
-    texts are cut there and each part's ids are kept by part. Texts with other white
-    space around such a cut take the library's own way.
+    Texts are cut into parts where a piece starts for certain, and the ids of parts are kept. A space
+    before a character that is no white space starts one, whatever comes before it: a run of white space
+    leaves its last character to what follows. So does a letter, digit or other
+    character after one of another class. Next to apostrophes and to characters
+    beyond ASCII that are no Latin-1 letters there is no cut; the pattern finds the pieces of such parts.
     """
 
-    KEPT = 250_000
+    KEPT = 600_000
 
     def __init__(self, path: str):
         import json
@@ -94,36 +104,72 @@ class FastTokens:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(own))}
         self.code = "H" if self.type is np.uint16 else "I"
-        self.parts, self.pieces = Kept(self.part, self.KEPT), Kept(self.piece, self.KEPT)
+        self.parts, self.pieces = Kept(self.part, self.KEPT), Kept(self.piece, self.KEPT // 8)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece, by the library's model."""
-        if piece[1:].isascii() and piece[1:].isalpha() and piece[0] == " ":
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
             form = "\u0120" + piece[1:]
         else:
             form = piece.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.model.tokenize(form)]).tobytes()
-
-    def part(self, part: str) -> bytes | None:
-        """Ids of a space and `part`; None if the cut before it isn't one."""
-        if part.isalpha():
-            return self.piece(" " + part)
-        if not part or part[0].isspace() or part[0] in "\x85\xa0":
-            return None
-        if part[-1] in ",." and part[:-1].isalpha():
-            return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.find(" " + part)))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.plain:
-            first, *rest = text.split(" ")
-            try:
-                return b"".join([*map(self.pieces.__getitem__, self.find(first)), *map(self.parts.__getitem__, rest)])
-            except TypeError:  # a None: white space by the cut
-                pass
-        return np.array(self.all.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, map(ID, self.model.tokenize(form))).tobytes()
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of a part."""
+        text = part.decode()
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return self.piece(text)
+        found = self.find(text)
+        return self.piece(text) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has.
+
+        Parts are told apart by a hash, their lengths and first bytes; each different one is looked up once.
+        """
+        counts = np.zeros(len(texts), np.int64)
+        if not self.plain:
+            got = [self.all.encode(x.decode(), add_special_tokens=False).ids for x in texts]
+            counts[:] = [len(x) for x in got]
+            return np.array([i for x in got for i in x], self.type), counts
+        data = b"".join(texts)
+        if not data:
+            return np.zeros(0, self.type), counts
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes) - sizes
+        b = np.frombuffer(data, np.uint8)
+        kind = CLASS[b]
+        # a Latin-1 letter is the byte C3 and another, but for the signs of multiplication and division
+        latin = np.flatnonzero((b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7))
+        kind[latin] = kind[latin + 1] = 1
+        cut = np.zeros(len(b), bool)
+        cut[:-1] = (b[:-1] == 32) & (kind[1:] != 0) & (kind[1:] != 4)
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 0) & (kind[1:] != 0) & (kind[:-1] != 4) & (kind[1:] != 4)
+        cut[first[sizes > 0]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, len(b)))
+        inner = np.arange(len(b)) - np.repeat(start, size)
+        code = mixed(np.add.reduceat(BYTES[b] * POWERS[inner & 4095], start) + size.astype(np.uint64))
+        which, _ = pd.factorize(code)
+        n = int(which.max()) + 1
+        one = np.zeros(n, np.int64)
+        one[which[::-1]] = np.arange(len(which))[::-1]  # the first of each
+        padded = np.frombuffer(data + b"\0" * 8, np.uint8)
+        head = sum(padded[start + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8))
+        like = one[which]
+        if (size != size[like]).any() or (head != head[like])[size >= 8].any():  # two parts with one hash
+            which = np.arange(len(start))
+            one = which
+        got = [self.parts[data[i : i + k]] for i, k in zip(start[one].tolist(), size[one].tolist(), strict=True)]
+        width = np.dtype(self.type).itemsize
+        have = np.fromiter(map(len, got), np.int64, len(got)) // width
+        flat = np.frombuffer(b"".join(got), self.type)
+        per = have[which]
+        shift = (np.cumsum(have) - have)[which] - (np.cumsum(per) - per)
+        ids = flat[np.arange(int(per.sum())) + np.repeat(shift, per)]
+        total = np.concatenate([[0], np.cumsum(per)])
+        bound = np.searchsorted(start, np.append(first, len(b)))
+        return ids, total[bound[1:]] - total[bound[:-1]]
 
 
 @cache
@@ -165,22 +211,27 @@ class Coder:
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
 
     def blocks(self, ids: np.ndarray) -> list[bytes]:
-        """Each block's bytes. All blocks and lanes take a step together, from the last ids to the first."""
-        out: list[bytes] = []
-        wide = 64
-        for at in range(0, len(ids), self.block * wide):
-            out += self._group(ids[at : at + self.block * wide])
+        """Each block's bytes."""
+        return self.blocks_of([ids])[0]
+
+    def blocks_of(self, files: list[np.ndarray]) -> list[list[bytes]]:
+        """The blocks of each file's ids. WIDE blocks, of whatever files, take their steps together."""
+        cut = [(i, x[at : at + self.block]) for i, x in enumerate(files) for at in range(0, len(x), self.block)]
+        out: list[list[bytes]] = [[] for _ in files]
+        for at in range(0, len(cut), WIDE):
+            for (i, _), blob in zip(cut[at : at + WIDE], self._group([x for _, x in cut[at : at + WIDE]]), strict=True):
+                out[i].append(blob)
         return out
 
-    def _group(self, ids: np.ndarray) -> list[bytes]:
-        K, n = self.lanes, -(-len(ids) // self.block)
-        sizes = np.full(n, self.block)
-        sizes[-1] = len(ids) - (n - 1) * self.block
-        steps = -(-int(sizes[0] if n > 1 else sizes[-1]) // K)
+    def _group(self, parts: list[np.ndarray]) -> list[bytes]:
+        """Blocks with one step of all lanes of all blocks at a time, from the last ids to the first."""
+        K, n = self.lanes, len(parts)
+        sizes = [len(x) for x in parts]
+        steps = -(-max(sizes) // K)
         grid = np.zeros(n * steps * K, np.int64)
         live = np.zeros(n * steps * K, bool)
-        for b in range(n):
-            grid[b * steps * K : b * steps * K + sizes[b]] = ids[b * self.block : b * self.block + sizes[b]]
+        for b, x in enumerate(parts):
+            grid[b * steps * K : b * steps * K + sizes[b]] = x
             live[b * steps * K : b * steps * K + sizes[b]] = True
         grid, live = grid.reshape(n, steps, K), live.reshape(n, steps, K)
         words, mask = np.zeros((n, steps, K), np.uint32), np.zeros((n, steps, K), bool)
@@ -206,7 +257,7 @@ class Coder:
             mine = [t for t in sorted(marks) if t * K < sizes[b]]
             body = b"".join(struct.pack("<I", before[t]) + marks[t][b].astype("<u8").tobytes() for t in mine)
             raw = held.tobytes()
-            own = ids[b * self.block : b * self.block + sizes[b]].astype("<u4").tobytes()
+            own = parts[b].astype("<u4").tobytes()
             out.append(BHEAD.pack(sizes[b], len(held), len(mine), zlib.crc32(own), zlib.crc32(raw)) + body + raw)
         return out
 
@@ -258,24 +309,34 @@ class Coder:
             at += size
         return flat
 
-    def file(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first: int) -> bytes:
-        blocks = self.blocks(ids)
-        ends = np.cumsum([0, *map(len, blocks)])[:-1]
-        head = HEAD.pack(b"TSA1", self.scale, self.crc, self.lanes, self.block, self.every, len(doc_ids), len(ids), len(blocks), first)
-        return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *blocks])
-
-    def read(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """doc ids, lengths, ids and the ids before the file in its partition."""
-        magic, scale, crc, lanes, block, every, docs, n, n_blocks, first = HEAD.unpack_from(blob)
-        if magic != b"TSA1" or crc != self.crc or (scale, lanes, block, every) != (self.scale, self.lanes, self.block, self.every):
-            raise ValueError("not a file of this table")
-        at = HEAD.size
-        doc_ids, lengths = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<u8", docs, at + 8 * docs).astype(np.int64)
-        ends = [*(np.frombuffer(blob, "<u8", n_blocks, at + 16 * docs).astype(np.int64) + at + 16 * docs + 8 * n_blocks), len(blob)]
-        ids = self.decode([blob[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-        if len(ids) != n:
-            raise ValueError("a file's length is wrong")
-        return doc_ids, lengths, ids, first
+    def files(self, many: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> list[bytes]:
+        """Files of (doc ids, lengths, ids, ids before the file in its partition)."""
+        out = []
+        for (doc_ids, lengths, ids, first), blocks in zip(many, self.blocks_of([x[2] for x in many]), strict=True):
+            ends = np.cumsum([0, *map(len, blocks)])[:-1]
+            head = HEAD.pack(b"TSA1", self.scale, self.crc, self.lanes, self.block, self.every, len(doc_ids), len(ids), len(blocks), first)
+            out.append(b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *blocks]))
+        return out
+
+    def read(self, blobs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Doc ids, lengths, ids and the ids before the file in its partition, of each file."""
+        found, blocks = [], []
+        for blob in blobs:
+            magic, scale, crc, lanes, block, every, docs, n, n_blocks, first = HEAD.unpack_from(blob)
+            if magic != b"TSA1" or crc != self.crc or (scale, lanes, block, every) != (self.scale, self.lanes, self.block, self.every):
+                raise ValueError("not a file of this table")
+            at = HEAD.size
+            doc_ids, lengths = np.frombuffer(blob, "<i8", docs, at), np.frombuffer(blob, "<u8", docs, at + 8 * docs).astype(np.int64)
+            ends = [*(np.frombuffer(blob, "<u8", n_blocks, at + 16 * docs).astype(np.int64) + at + 16 * docs + 8 * n_blocks), len(blob)]
+            blocks += [blob[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            found.append((doc_ids, lengths, n, first))
+        ids, at, out = self.decode(blocks), 0, []
+        for doc_ids, lengths, n, first in found:
+            if lengths.sum() != n or at + n > len(ids):
+                raise ValueError("a file's length is wrong")
+            out.append((doc_ids, lengths, ids[at : at + n], first))
+            at += n
+        return out
 
 
 def segments(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -288,24 +349,32 @@ def segments(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
     def run(batches):
         from pyspark import TaskContext
 
-        t, part = fast_tokens(path), TaskContext.get().partitionId()
-        end, width = np.array([end_id], t.type).tobytes(), np.dtype(t.type).itemsize
-        doc_ids, lengths, got, held, first = [], [], [], 0, 0
+        t, part, first = fast_tokens(path), TaskContext.get().partitionId(), 0
+        doc_ids, lengths, got, held = [], [], [], 0
 
         def row():
-            return pa.RecordBatch.from_pydict({"part": [part], "first": [first], "doc_ids": [np.array(doc_ids, "<i8").tobytes()], "lengths": [np.array(lengths, "<i8").tobytes()], "ids": [b"".join(got)]}, pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
+            cols = {"doc_ids": np.concatenate(doc_ids).astype("<i8").tobytes(), "lengths": np.concatenate(lengths).astype("<i8").tobytes(), "ids": np.concatenate(got).tobytes()}
+            return pa.RecordBatch.from_pydict({k: [v] for k, v in ({"part": part, "first": first} | cols).items()}, pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
 
         for b in chunks(batches, "text"):
-            for i, x in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got += (t.encode(x), end)
-                doc_ids.append(i)
-                lengths.append(len(got[-2]) // width + 1)
-                held += lengths[-1]
+            ids, n = t.encode(b.column("text").cast(pa.binary()).to_pylist())
+            ids, own = np.insert(ids, np.cumsum(n), end_id), b.column("id").to_numpy()
+            n = n + 1
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):  # whole documents until the segment is full
+                base = int(ends[at - 1]) if at else 0
+                stop = min(len(n), int(np.searchsorted(ends, base + SEGMENT - held)) + 1)
+                doc_ids.append(own[at:stop])
+                lengths.append(n[at:stop])
+                got.append(ids[base : int(ends[stop - 1])])
+                held += int(ends[stop - 1]) - base
+                at = stop
                 if held >= SEGMENT:
                     yield row()
                     first += held
                     doc_ids, lengths, got, held = [], [], [], 0
-        if doc_ids:
+        if held:
             yield row()
 
     return rows.mapInArrow(run, "part int, first long, doc_ids binary, lengths binary, ids binary")
@@ -338,12 +407,8 @@ def encode_corpus(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kind = np.uint16 if width == 2 else np.uint32
 
     def one(b):
-        coder, files, n = _coder(freq.tobytes()), [], []
-        for first, d, k, x in zip(*(b.column(c).to_pylist() for c in ("first", "doc_ids", "lengths", "ids")), strict=True):
-            ids = np.frombuffer(x, kind)
-            n.append(len(ids))
-            files.append(coder.file(np.frombuffer(d, "<i8"), np.frombuffer(k, "<i8"), ids, first))
-        return {"part": b.column("part"), "first": b.column("first"), "n_ids": n, "file": files}
+        many = [(np.frombuffer(d, "<i8"), np.frombuffer(k, "<i8"), np.frombuffer(x, kind), first) for first, d, k, x in zip(*(b.column(c).to_pylist() for c in ("first", "doc_ids", "lengths", "ids")), strict=True)]
+        return {"part": b.column("part"), "first": b.column("first"), "n_ids": [len(x[2]) for x in many], "file": _coder(freq.tobytes()).files(many)}
 
     files = written(map_arrow(segs, one, "part int, first long, n_ids long, file binary", "ids"), "files", blobs=True)
     discard(segs)
@@ -365,8 +430,7 @@ def decode_corpus(files: DataFrame, freq: np.ndarray) -> DataFrame:
     def one(b):
         coder = _coder(freq.tobytes())
         out = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32")}
-        for base, x in zip(b.column("base").to_pylist(), b.column("file").to_pylist(), strict=True):
-            doc_ids, lengths, ids, first = coder.read(x)
+        for base, (doc_ids, lengths, ids, first) in zip(b.column("base").to_pylist(), coder.read(b.column("file").to_pylist()), strict=True):
             ends = np.cumsum(lengths)
             raw = memoryview(ids.astype("<u4").tobytes())
             out["doc_id"] += [None if i == LAST_ID else i for i in doc_ids.tolist()]
@@ -376,7 +440,7 @@ def decode_corpus(files: DataFrame, freq: np.ndarray) -> DataFrame:
         return out
 
     rows = files.join(before, files["part"] == before["of_part"]).select("base", "file")
-    return map_arrow(rows, one, "doc_id long, start long, n_tokens long, ids_crc32 long", "file", 2 << 20)
+    return map_arrow(rows, one, "doc_id long, start long, n_tokens long, ids_crc32 long", "file", 4 << 20)
 
 
 def op3(spark, docs: DataFrame) -> DataFrame:
