@@ -1,7 +1,409 @@
-"""All queries and their SQL, by name."""
+"""All queries of the package's own operators, by name; each takes (spark, sf_dir) and runs over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import bags, evaluate, filters, hmm, lexicon, morph, ngram, sampling, scores
+from tessera.sources import corpus
+
+from .oracles import ORACLES
+
 FLAGSHIP = "score_sentences"
+QUERIES: dict = {}
+JOIN = lambda c: F.array_join(c, " ")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def sents(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.sentences(corpus.spread(corpus.table(spark, d, "documents").select("doc_id", "text")))
+
+
+def toks(spark, d) -> DataFrame:
+    return corpus.tokens(sents(spark, d))
+
+
+def cleaned(spark, d) -> DataFrame:
+    """Sentences of the corpus with unknown words replaced."""
+    s = sents(spark, d)
+    return lexicon.clean_corpus(s, corpus.tokens(s))
+
+
+def benchmark_tokens(spark, d) -> DataFrame:
+    return corpus.table(spark, d, "benchmark").select("item_id", F.explode(T.tokenize(F.col("text"), True)).alias("word"))
+
+
+def model(spark, d) -> tuple[ngram.KneserNey, DataFrame]:
+    wins = ngram.windows(cleaned(spark, d), 3)
+    return ngram.kneser_ney(wins, 3), wins
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def states(spark, d) -> DataFrame:
+    """Tokens with a state, chunk and topic by their letters, the same in every engine."""
+    size = F.length("word")
+    return toks(spark, d).withColumns({"state": size % 5, "chunk": size % 3, "topic": (F.col("doc_id") % 4).cast("int"), "boundary": F.col("pos") % 3 == 2})
+
+
+def labelings(spark, d) -> DataFrame:
+    return evaluate.confusion(corpus.table(spark, d, "lineitem"), "l_linenumber", "l_returnflag")
+
+
+@query
+def sentences(spark, d):
+    return sents(spark, d).select("doc_id", "sent_id", "line", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query
+def tokens(spark, d):
+    return toks(spark, d)
+
+
+@query
+def conll_sentences(spark, d):
+    t = corpus.table(spark, d, "conversations").select("conv_id", "turn", "role", T.tokenize(F.col("text")).alias("w")).where(F.size("w") > 0)
+    rows = t.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "w"))), lambda x: F.transform(x["w"], lambda w: F.struct(w.alias("word"), x["role"].alias("tag")))).alias("s"))
+    return corpus.read_conll(rows.select("conv_id", corpus.conll_block(F.col("s")).alias("block")), "conv_id", "block")
+
+
+@query
+def document_numbers(spark, d):
+    docs = corpus.table(spark, d, "documents").select("doc_id", F.col("source").alias("file"))
+    lines = sents(spark, d).select("doc_id", "sent_id", "line").join(docs, "doc_id").select("file", "doc_id", "sent_id", "line")
+    marks = docs.select("file", "doc_id", F.lit(-1).cast("long").alias("sent_id"), F.lit("<PAGEBOUNDARY>").alias("line"))
+    return corpus.document_numbers(lines.unionByName(marks), "file", ["doc_id", "sent_id"], "line").groupBy("file", "doc").agg(F.count("*").alias("lines"))
+
+
+@query
+def char_tokens(spark, d):
+    return corpus.table(spark, d, "documents").select(F.explode(corpus.characters(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query
+def lexicon_(spark, d):
+    return lexicon.lexicon(toks(spark, d))
+
+
+QUERIES["lexicon"] = QUERIES.pop("lexicon_")
+
+
+@query
+def lexicon_top(spark, d):
+    return lexicon.most_frequent(lexicon.lexicon(toks(spark, d)), 100)
+
+
+@query
+def unknown_signatures(spark, d):
+    t = toks(spark, d).groupBy("word").agg(F.count("*").alias("freq"))
+    return t.where("freq < 4").select("word", T.signature(F.col("word")).alias("signature"))
+
+
+@query
+def cleaned_corpus(spark, d):
+    return cleaned(spark, d).select("doc_id", "sent_id", JOIN("tokens").alias("line"))
+
+
+@query
+def unknown_rate(spark, d):
+    t = toks(spark, d)
+    return lexicon.clean(t, lexicon.lexicon(t)).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(~F.col("known")).alias("unknown"))
+
+
+@query
+def reversed_sentences(spark, d):
+    return sents(spark, d).select("doc_id", "sent_id", JOIN(F.reverse("tokens")).alias("line"))
+
+
+@query
+def known_sentences(spark, d):
+    t = toks(spark, d)
+    return lexicon.clean(t, lexicon.lexicon(t)).groupBy("doc_id", "sent_id").agg(F.bool_and("known").alias("all_known")).where("all_known").select("doc_id", "sent_id")
+
+
+@query
+def short_sentences(spark, d):
+    return sents(spark, d).select("doc_id", "sent_id", F.size("tokens").cast("long").alias("n_tokens")).where("n_tokens <= 10")
+
+
+@query
+def normalized_words(spark, d):
+    w = F.col("word")
+    return toks(spark, d).groupBy("word").agg(F.count("*").alias("n")).select("word", T.normal_trimmed(w).alias("trimmed"), T.normal_number(w).alias("numbered"), "n")
+
+
+@query
+def tag_split(spark, d):
+    t = corpus.table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("_@"), "source")).otherwise(F.col("source")).alias("t"))
+    tag, word = T.tag_and_word(F.col("t"))
+    return t.groupBy(tag.alias("tag"), word.alias("word")).agg(F.count("*").alias("n"))
+
+
+@query
+def ngram_counts(spark, d):
+    return ngram.counts(sents(spark, d), 3).withColumn("ngram", JOIN("ngram"))
+
+
+@query
+def ngram_totals(spark, d):
+    return ngram.totals(ngram.counts(sents(spark, d), 3))
+
+
+@query
+def kn_num(spark, d):
+    return model(spark, d)[0].num.withColumn("ngram", JOIN("ngram"))
+
+
+def contexts_of(m: ngram.KneserNey) -> DataFrame:
+    return m.ctx.withColumn("ctx", JOIN("ctx"))
+
+
+@query
+def kn_ctx(spark, d):
+    return contexts_of(model(spark, d)[0])
+
+
+@query
+def kn_meta(spark, d):
+    return model(spark, d)[0].meta
+
+
+@query
+def kn_stingy_ctx(spark, d):
+    wins = ngram.windows(cleaned(spark, d), 3)
+    return contexts_of(ngram.kneser_ney(ngram.stingy(wins, benchmark_tokens(spark, d).select("word").distinct()), 3))
+
+
+@query
+def kn_tag_ctx(spark, d):
+    tagged = sents(spark, d).withColumn("tokens", F.transform("tokens", lambda w: (F.length(w) % 7).cast("string")))
+    return contexts_of(ngram.kneser_ney(ngram.windows(tagged, 3), 3))
+
+
+@query
+def kn_twosided_ctx(spark, d):
+    c = ngram.two_sided(cleaned(spark, d), 2).groupBy("ctx", "pivot").agg(F.count("*").alias("n"))
+    return c.groupBy(JOIN("ctx").alias("ctx")).agg(F.sum("n").alias("den"), F.count("*").alias("nz"))
+
+
+@query
+def laplace_prob(spark, d):
+    return rounded(ngram.laplace(ngram.counts(cleaned(spark, d), 3), 3).withColumn("ngram", JOIN("ngram")), 9, "p")
+
+
+@query
+def kn_prob(spark, d):
+    return rounded(ngram.probabilities(*model(spark, d)).withColumn("ngram", JOIN("ngram")), 9, "p", "p1")
+
+
+@query
+def back_off_prob(spark, d):
+    s = cleaned(spark, d)
+    return rounded(ngram.back_off(ngram.counts(s, 3), ngram.windows(s, 3), 3).withColumn("ngram", JOIN("ngram")), 9, "p")
+
+
+@query
+def score_sentences(spark, d):
+    return rounded(rounded(scores.score_sentences(*model(spark, d)), 6, *scores.SCORES), 4, "ppl")
+
+
+@query
+def perplexity_by_document(spark, d):
+    return rounded(rounded(scores.perplexity(scores.word_log_probabilities(*model(spark, d)), "doc_id"), 6, "entropy"), 4, "perplexity")
+
+
+@query
+def score_correlation(spark, d):
+    per = scores.score_sentences(*model(spark, d)).groupBy("doc_id").agg(*[F.avg(m).alias(m) for m in scores.SCORES])
+    ratings = corpus.table(spark, d, "labels").select("doc_id", F.col("quality").alias("rating"))
+    return rounded(scores.correlate(per, ratings, "doc_id", scores.SCORES), 6, "correlation")
+
+
+@query
+def lm_interpolation(spark, d):
+    w = scores.word_log_probabilities(*model(spark, d))
+    return rounded(w.groupBy("doc_id").agg(F.sum(scores.interpolated(F.col("lp"), F.col("up"), 0.75, F.lit(False))).alias("logprob")), 5, "logprob")
+
+
+@query
+def selected_ngrams(spark, d):
+    b = corpus.sentences(corpus.table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "\n", " ")), "item_id")
+    return ngram.selected(model(spark, d)[0].num.where("order = 3"), ngram.windows(b, 3)).select(JOIN("ngram").alias("ngram"), "c")
+
+
+def vocab(spark, d) -> DataFrame:
+    s = sents(spark, d)
+    return lexicon.vocabulary(corpus.tokens(s), s.agg(F.count("*").alias("n")))
+
+
+@query
+def vocabulary(spark, d):
+    return vocab(spark, d)
+
+
+@query
+def word_classes(spark, d):
+    return lexicon.word_classes(vocab(spark, d), 100)
+
+
+@query
+def noise_distribution(spark, d):
+    return rounded(lexicon.noise(vocab(spark, d)), 9, "p")
+
+
+@query
+def document_filter(spark, d):
+    h = F.col("html")
+    names = {"ARTICLE": filters.has_element(h, "article"), "BOLD": filters.has_element(h, "b"), "TABLE": filters.has_element(h, "table"), "FR": filters.has_code(h, "html", "lang", "fr")}
+    return corpus.table(spark, d, "pages").select("page_id", filters.parse("ARTICLE * BOLD", names).alias("both_of"), filters.parse("FR + TABLE", names).alias("either_of"), filters.parse("(ARTICLE * -FR) + (TABLE * BOLD)", names).alias("mixed"))
+
+
+@query
+def bag_counts(spark, d):
+    return bags.bag_counts(benchmark_tokens(spark, d), "item_id")
+
+
+@query
+def bag_centroid(spark, d):
+    b = bags.bag_counts(toks(spark, d)).join(corpus.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return bags.centroid(b, "doc_id", "lang")
+
+
+@query
+def bag_distances(spark, d):
+    return rounded(bags.distances(bags.bag_counts(benchmark_tokens(spark, d), "item_id"), "item_id"), 6, "bray_curtis", "euclidean")
+
+
+@query
+def bag_clusters(spark, d):
+    return bags.clusters(bags.bag_counts(benchmark_tokens(spark, d), "item_id"), "item_id", 0.6)
+
+
+@query
+def tag_confusion(spark, d):
+    return labelings(spark, d)
+
+
+@query
+def jaccard_cost(spark, d):
+    return rounded(evaluate.jaccard_cost(labelings(spark, d)), 9, "cost")
+
+
+@query
+def many_to_one_accuracy(spark, d):
+    c = labelings(spark, d)
+    return rounded(evaluate.accuracy(c, evaluate.many_to_one(c)), 9, "accuracy")
+
+
+@query
+def pairwise_prf(spark, d):
+    return rounded(evaluate.pairwise(labelings(spark, d)), 9, "precision", "recall", "f")
+
+
+@query
+def variation_of_information(spark, d):
+    return rounded(evaluate.variation_of_information(labelings(spark, d)), 9, "vi")
+
+
+@query
+def run_statistics(spark, d):
+    return rounded(evaluate.over_runs(corpus.table(spark, d, "orders"), "o_totalprice", "o_orderpriority"), 4, "mean", "stdev")
+
+
+@query
+def mapping_ratio(spark, d):
+    return evaluate.mapping_ratio(corpus.table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query
+def harmonic_mean(spark, d):
+    return rounded(evaluate.harmonic_mean(corpus.table(spark, d, "lineitem"), "l_quantity", "l_returnflag"), 9, "harmonic_mean")
+
+
+@query
+def shannon_entropy(spark, d):
+    return rounded(evaluate.shannon(labelings(spark, d), "n", "model"), 9, "entropy")
+
+
+@query
+def hmm_state_words(spark, d):
+    return hmm.state_words(states(spark, d))
+
+
+@query
+def hmm_transitions(spark, d):
+    return hmm.transitions(hmm.contexts(states(spark, d), 5), 2)
+
+
+@query
+def hmm_transition_prob(spark, d):
+    return rounded(hmm.transition_probabilities(hmm.transitions(hmm.contexts(states(spark, d), 5), 1), 5, 0.1), 9, "p")
+
+
+@query
+def hmm_emission_prob(spark, d):
+    return rounded(hmm.emission_probabilities(hmm.state_words(states(spark, d)), 0.01), 9, "p")
+
+
+@query
+def topic_counts(spark, d):
+    return hmm.topic_counts(states(spark, d))
+
+
+@query
+def top_words(spark, d):
+    return hmm.top_words(hmm.state_words(states(spark, d)), 10)
+
+
+@query
+def two_tier_counts(spark, d):
+    return hmm.two_tier(states(spark, d), 5)
+
+
+@query
+def chunk_counts(spark, d):
+    return hmm.chunk_counts(hmm.segments(states(spark, d)))
+
+
+@query
+def chunk_bigrams(spark, d):
+    return hmm.chunk_bigrams(hmm.segments(states(spark, d)))
+
+
+def chunk_model(spark, d) -> DataFrame:
+    t = states(spark, d)
+    return hmm.chunk_probabilities(hmm.chunk_counts(hmm.segments(t)), hmm.states_of(t), 2.0, 0.5)
+
+
+@query
+def chunk_prob(spark, d):
+    return rounded(chunk_model(spark, d), 9, "p")
+
+
+@query
+def chunk_transition_prob(spark, d):
+    return rounded(hmm.chunk_transition_probabilities(hmm.chunk_bigrams(hmm.segments(states(spark, d))), chunk_model(spark, d), 3.0), 9, "p")
+
+
+@query
+def stem_affix_prob(spark, d):
+    words = lexicon.lexicon(toks(spark, d)).select("word", F.col("freq").alias("n"))
+    return rounded(morph.stem_given_affix(morph.splits(words), 1.0, 0.3, 26), 9, "p")
+
+
+@query
+def reservoir_sample(spark, d):
+    return sampling.sample(corpus.table(spark, d, "documents").select("doc_id", "lang"), 100, 7, "doc_id")
+
+
+@query
+def word_swap(spark, d):
+    return sampling.swap_words(sents(spark, d), 7).select("doc_id", "sent_id", JOIN("tokens").alias("line"))
