@@ -70,7 +70,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample:
     u = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
     few = rows.where(F.col("label").isin(languages)).select("id", "label", u).where(F.col("u") <= share[F.col("label")])
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("u", "id"))).where(F.col("rank") <= sample).select(F.col("id").alias("of"), "label")
-    texts = labelled.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(few), F.col("id") == F.col("of"))
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("own"), text_of(text_col).alias("text")).join(F.broadcast(few), (F.col("id") == F.col("of")) & (F.col("own") == F.col("label")))
 
     def count(batches):
         total = np.zeros((len(languages), BUCKETS), np.int64)

@@ -16,7 +16,7 @@ File layout, little-endian: magic `TSA1`, scale u32, table checksum u32, lanes u
 every u32, documents u64, ids u64, blocks u64; then first_id u64 (ids before the file in its
 partition); the doc ids as i64; their lengths as u64; the byte offset of each block as
 u64; the blocks. A block: ids u32, words u32, checkpoints u32, crc32 of the ids as u32,
-crc32 of the words; then for each checkpoint the word offset u32 and the lanes' states u64; then
+crc32 of all that follows; then for each checkpoint the word offset u32 and the lanes' states u64; then
 the words u32.
 
 A null text is empty and holds the end id alone; a null doc_id comes last (as the largest
@@ -258,7 +258,7 @@ class Coder:
             body = b"".join(struct.pack("<I", before[t]) + marks[t][b].astype("<u8").tobytes() for t in mine)
             raw = held.tobytes()
             own = parts[b].astype("<u4").tobytes()
-            out.append(BHEAD.pack(sizes[b], len(held), len(mine), zlib.crc32(own), zlib.crc32(raw)) + body + raw)
+            out.append(BHEAD.pack(sizes[b], len(held), len(mine), zlib.crc32(own), zlib.crc32(body + raw)) + body + raw)
         return out
 
     def decode(self, blocks: list[bytes]) -> np.ndarray:
@@ -272,8 +272,8 @@ class Coder:
             rec = np.frombuffer(blob, np.dtype([("w", "<u4"), ("x", "<u8", (K,))]), n_marks, at)
             at += n_marks * (4 + 8 * K)
             raw = blob[at : at + 4 * n_words]
-            if len(raw) != 4 * n_words or zlib.crc32(raw) != crc_words:
-                raise ValueError("a block's words are damaged")
+            if len(raw) != 4 * n_words or zlib.crc32(blob[BHEAD.size :]) != crc_words:
+                raise ValueError("a block is damaged")
             states.append(rec["x"])
             ptrs.append(rec["w"].astype(np.int64) + base)
             counts.append(np.minimum(self.every * K, size - np.arange(n_marks) * self.every * K))
