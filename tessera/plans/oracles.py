@@ -139,8 +139,8 @@ ORACLES = {
     "kn_meta": KN3 + " SELECT unigram_denominator FROM meta",
     "kn_stingy_ctx": kn(windows("csent", 3, CSENT + r""", voc AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS w FROM benchmark UNION SELECT '<s>' UNION SELECT '</s>')""", "WHERE list_extract(t, i + 2) IN (SELECT w FROM voc)")) + " " + CTX,
     "kn_tag_ctx": kn(windows("tagged", 3, TOK + r""", tagged AS (SELECT doc_id, sent_id, list(CAST(length(word) % 7 AS VARCHAR) ORDER BY pos) AS tokens FROM tok GROUP BY doc_id, sent_id)""")) + " " + CTX,
-    "kn_twosided_ctx": CSENT + r""", p AS (SELECT list_concat(list_concat(['<s>'], tokens), ['</s>']) AS t FROM csent), w AS (SELECT t[i] || ' ' || t[i + 2] AS ctx, t[i + 1] AS pivot FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p)),
-        c AS (SELECT ctx, pivot, count(*) AS n FROM w GROUP BY ALL) SELECT ctx, CAST(sum(n) AS BIGINT) AS den, count(*) AS nz FROM c GROUP BY ctx""",
+    "kn_twosided_ctx": CSENT + r""", p AS (SELECT list_concat(list_concat(['<s>'], tokens), ['</s>']) AS t FROM csent), w AS (SELECT t[i] || ' ' || t[i + 2] AS ctx, t[i + 1] AS middle FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p)),
+        c AS (SELECT ctx, middle, count(*) AS n FROM w GROUP BY ALL) SELECT ctx, CAST(sum(n) AS BIGINT) AS den, count(*) AS nz FROM c GROUP BY ctx""",
     "laplace_prob": CSENT + r""", p3 AS (SELECT list_concat(list_concat(['<s>', '<s>'], tokens), ['</s>']) AS t FROM csent),
         g3 AS (SELECT list_slice(t, i, i + 2) AS g, count(*) AS c FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p3) GROUP BY 1),
         g2 AS (SELECT list_slice(t, i, i + 1) AS g, count(*) AS c FROM (SELECT t, unnest(range(1, len(t))) AS i FROM p3) GROUP BY 1), v AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(t) AS w FROM p3))
