@@ -2,7 +2,7 @@
 
 For each row and language, the log posterior is the sum of
 
-* text: TEMPER times the log likelihood of the whole text's byte trigrams (hashed to
+* text: TEMPER times the log likelihood of the whole text's byte trigrams around letters (hashed to
   BUCKETS, add-one smoothed), from a model fitted on at most SAMPLE labelled rows a language,
 * declared: log p(declared language | language), from soft counts over all rows,
 * suffix: log p(address suffix | language), likewise,
@@ -34,9 +34,10 @@ LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 def trigrams(data: bytes) -> np.ndarray:
-    """Buckets of a text's byte trigrams, A-Z lower-cased, between two spaces."""
+    """Buckets of a text's byte trigrams around a letter, A-Z lower-cased, between two spaces."""
     b = np.frombuffer(b" " + data.lower() + b" ", np.uint8).astype(np.uint32)
-    return ((((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64) if len(b) > 2 else np.zeros(0, np.int64)
+    codes = (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(17)
+    return codes[LETTERS[b[1:-1]]].astype(np.int64)
 
 
 class Model:
@@ -48,7 +49,7 @@ class Model:
     def likelihoods(self, data: bytes) -> np.ndarray:
         """Tempered log likelihood by language, `und` last."""
         t = trigrams(data)
-        if not len(t) or not LETTERS[np.frombuffer(data, np.uint8)].any():
+        if not len(t):
             out = np.full(len(self.languages) + 1, -1e3)
             out[-1] = 0.0
             return out
