@@ -8,17 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SENTENCE = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
+def sentence():
+    """A sentence's tokens in order."""
+    return Window.partitionBy("doc_id", "sent_id").orderBy("pos")
 
 
 def previous(col: str, k: int, default: int) -> Column:
     """The k-th value before in the sentence, else the boundary's."""
-    return F.coalesce(F.lag(col, k).over(SENTENCE), F.lit(default))
+    return F.coalesce(F.lag(col, k).over(sentence()), F.lit(default))
 
 
 def contexts(tokens: DataFrame, states: int) -> DataFrame:
     """Adds lag1, lag2 and next."""
-    return tokens.withColumn("lag1", previous("state", 1, states)).withColumn("lag2", previous("state", 2, states)).withColumn("next", F.coalesce(F.lead("state").over(SENTENCE), F.lit(states)))
+    return tokens.withColumn("lag1", previous("state", 1, states)).withColumn("lag2", previous("state", 2, states)).withColumn("next", F.coalesce(F.lead("state").over(sentence()), F.lit(states)))
 
 
 def state_words(tokens: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def top_words(words: DataFrame, k: int) -> DataFrame:
 
 def two_tier(tokens: DataFrame, states: int) -> DataFrame:
     """kind, chunk, state, next, n: chunk transitions (chunk, state to chunk) and state transitions (chunk, state to state)."""
-    nc, ns = F.coalesce(F.lead("chunk").over(SENTENCE), F.lit(-1)), F.coalesce(F.lead("state").over(SENTENCE), F.lit(states))
+    nc, ns = F.coalesce(F.lead("chunk").over(sentence()), F.lit(-1)), F.coalesce(F.lead("state").over(sentence()), F.lit(states))
     rows = tokens.select("chunk", "state", nc.alias("nc"), ns.alias("ns"))
     a = rows.groupBy("chunk", "state", F.col("nc").alias("next")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("chunk"))
     b = rows.groupBy("chunk", "state", F.col("ns").alias("next")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("state"))
@@ -86,7 +88,7 @@ def two_tier(tokens: DataFrame, states: int) -> DataFrame:
 
 def segments(tokens: DataFrame) -> DataFrame:
     """doc_id, sent_id, chunk_id, chunk: states between boundaries (column boundary: does a chunk end here?), joined by +."""
-    before = F.coalesce(F.sum(F.col("boundary").cast("long")).over(SENTENCE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.col("boundary").cast("long")).over(sentence().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = tokens.withColumn("chunk_id", before)
     return rows.groupBy("doc_id", "sent_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "state"))), lambda x: x["state"].cast("string")), "+").alias("chunk"))
 

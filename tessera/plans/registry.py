@@ -407,3 +407,42 @@ def reservoir_sample(spark, d):
 @query
 def word_swap(spark, d):
     return sampling.swap_words(sents(spark, d), 7).select("doc_id", "sent_id", JOIN("tokens").alias("line"))
+
+
+def sampler_input(spark, d) -> tuple[DataFrame, int]:
+    """Sentences of word ids over the lexicon, and the number of words."""
+    from tessera.operators import bayes
+
+    t = toks(spark, d)
+    lex = lexicon.lexicon(t)
+    ids = lexicon.vocabulary(t.join(lex.select(F.col("word").alias("of")), F.col("word") == F.col("of"), "left_semi"), t.limit(1).select(F.lit(0).cast("long").alias("n")))
+    return bayes.word_ids(t, ids), ids.count()
+
+
+@query
+def gibbs_hmm(spark, d):
+    from tessera.operators import bayes
+
+    rows, n = sampler_input(spark, d)
+    m, states = bayes.train(rows, n, states=5, sweeps=2)
+    return bayes.induced_classes(states).select("doc_id", "sent_id", JOIN("tokens").alias("classes"))
+
+
+@query
+def sampled_log_probability(spark, d):
+    from tessera.operators import bayes
+
+    rows, n = sampler_input(spark, d)
+    m, states = bayes.train(rows, n, states=5, sweeps=1)
+    sampled = bayes.sentence_log_probabilities(rows, m, sweeps=6, burn_in=4, lag=1)
+    exact = bayes.exact_log_probabilities(rows, m).select(F.col("doc_id").alias("d"), F.col("sent_id").alias("s"), F.col("logprob").alias("exact"))
+    return sampled.join(exact, (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s"))).select("doc_id", "sent_id", "logprob", "exact")
+
+
+@query
+def bigram_network(spark, d):
+    from tessera.operators import neural
+
+    rows, n = sampler_input(spark, d)
+    losses = neural.train_bigram(rows, n, hidden=8, epochs=2)[2]
+    return spark.createDataFrame(list(enumerate(losses)), "epoch long, loss double")
