@@ -105,6 +105,12 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+UNI_TAIL = r""", uni AS (
+  SELECT word, log10(count(*) / CAST((SELECT count(*) FROM cleaned) AS DOUBLE)) AS up FROM cleaned GROUP BY word
+  UNION ALL SELECT '</s>', log10((SELECT count(*) FROM csent) / CAST((SELECT count(*) FROM cleaned) AS DOUBLE))
+)"""
+UNI = CSENT + UNI_TAIL
+
 ORACLES = {
     "sentences": SENTS + " SELECT doc_id, sent_id, line, len(tokens) AS n_tokens FROM sent",
     "tokens": TOK + " SELECT doc_id, sent_id, pos, word FROM tok",
@@ -185,4 +191,18 @@ ORACLES = {
     "chunk_transition_prob": SEGS + " SELECT prev, bi.chunk, round((n + 3.0::DOUBLE * p) / (sum(n) OVER (PARTITION BY prev) + 3.0::DOUBLE * (SELECT count(*) FROM cp)), 9) AS p FROM bi JOIN cp ON bi.chunk = cp.chunk",
     "stem_affix_prob": LEX + r""", sp AS (SELECT word[1:i] AS stem, word[i + 1:] AS affix, freq AS n FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS i FROM lex)), c AS (SELECT affix, stem, sum(n) AS n FROM sp GROUP BY ALL)
         SELECT affix, stem, round((n + exp(ln(0.3::DOUBLE) + length(stem) * (ln(0.7::DOUBLE) + ln(1 / 26::DOUBLE)))) / (sum(n) OVER (PARTITION BY affix) + 1.0::DOUBLE), 9) AS p FROM c""",
+    "unigram_reestimate": UNI + " SELECT word, round(up, 9) AS up FROM uni",
+    "net_style_scores": KN3 + PROBS + UNI_TAIL + r""", words AS (SELECT doc_id, sent_id, pos, log10(p) AS lp, up FROM win JOIN prob ON win.ngram = prob.ngram JOIN uni ON win.ngram[3] = uni.word), persent AS (
+        SELECT doc_id, sent_id, count(*) AS n, sum(lp) AS lp, sum(up) AS up, list_sort(list(-lp / up)) AS r FROM words GROUP BY doc_id, sent_id), pct AS (SELECT *, """ + PCT.format(q="0.25::DOUBLE") + " AS q1, " + PCT.format(q="0.5::DOUBLE") + r""" AS q2 FROM persent), scored AS (
+        SELECT doc_id, sent_id, lp AS logprob, up AS unigram_logprob, lp / n AS mean_logprob, lp / -up AS norm_logprob_div, lp - up AS norm_logprob_sub, (lp - up) / n AS slor,
+        """ + ", ".join(f"CASE WHEN n >= 5 THEN r[{i}] END AS wlogprob_bot_{i}" for i in range(1, 6)) + r""", CASE WHEN n >= 5 THEN list_sum(r) / n END AS wlogprob_mean, CASE WHEN n >= 5 THEN list_avg(list_filter(r, lambda x: x <= q1)) END AS wlogprob_m1q, CASE WHEN n >= 5 THEN list_avg(list_filter(r, lambda x: x <= q2)) END AS wlogprob_m2q FROM pct)
+        SELECT doc_id, sent_id, """ + r6(*METRICS) + " FROM scored",
+    "kn_tag_prob": kn(windows("tagged", 3, TOK + r""", tagged AS (SELECT doc_id, sent_id, list(CAST(length(word) % 7 AS VARCHAR) ORDER BY pos) AS tokens FROM tok GROUP BY doc_id, sent_id)""")) + PROBS + r""",
+        wf AS (SELECT word, count(*) AS f FROM tok GROUP BY word), tf AS (SELECT CAST(length(word) % 7 AS VARCHAR) AS tag, count(*) AS f FROM tok GROUP BY 1),
+        pairs AS (SELECT DISTINCT tok.word, win.ngram FROM win JOIN tok ON win.doc_id = tok.doc_id AND win.sent_id = tok.sent_id AND win.pos = tok.pos)
+        SELECT pairs.word, array_to_string(pairs.ngram, ' ') AS ngram, round((wf.f + 1) / CAST(tf.f AS DOUBLE) * prob.p, 9) AS p FROM pairs JOIN prob ON pairs.ngram = prob.ngram JOIN wf ON wf.word = pairs.word JOIN tf ON tf.tag = CAST(length(pairs.word) % 7 AS VARCHAR)""",
+    "back_off_prob": windows("csent", 3) + r""", p3 AS (SELECT list_concat(list_concat(['<s>', '<s>'], tokens), ['</s>']) AS t FROM csent), g1 AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM p3) GROUP BY w),
+        g2 AS (SELECT list_slice(t, i, i + 1) AS g, count(*) AS c FROM (SELECT t, unnest(range(1, len(t))) AS i FROM p3) GROUP BY 1), g3 AS (SELECT list_slice(t, i, i + 2) AS g, count(*) AS c FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM p3) GROUP BY 1)
+        SELECT array_to_string(w.ngram, ' ') AS ngram, round(coalesce(g3.c / CAST(b2.c AS DOUBLE), g2.c / CAST(b1.c AS DOUBLE), g1.c / CAST((SELECT sum(c) FROM g1) AS DOUBLE), 0), 9) AS p
+        FROM (SELECT DISTINCT ngram FROM win) w LEFT JOIN g3 ON g3.g = w.ngram LEFT JOIN g2 b2 ON b2.g = w.ngram[1:2] LEFT JOIN g2 ON g2.g = w.ngram[2:3] LEFT JOIN g1 b1 ON b1.w = w.ngram[2] LEFT JOIN g1 ON g1.w = w.ngram[3]""",
 }

@@ -446,3 +446,33 @@ def bigram_network(spark, d):
     rows, n = sampler_input(spark, d)
     losses = neural.train_bigram(rows, n, hidden=8, epochs=2)[2]
     return spark.createDataFrame(list(enumerate(losses)), "epoch long, loss double")
+
+
+def reestimated_words(spark, d) -> DataFrame:
+    """Word log-probabilities with unigrams re-estimated from the cleaned corpus."""
+    s = cleaned(spark, d)
+    wins = ngram.windows(s, 3)
+    w = scores.probabilities(ngram.kneser_ney(wins, 3), wins).select(F.col("ngram").alias("g"), T.log10(F.col("p")).alias("lp"))
+    u = scores.reestimated_unigrams(corpus.tokens(s), s).select(F.col("word").alias("w"), "up")
+    return wins.join(w, F.col("ngram") == F.col("g")).join(u, F.element_at("ngram", -1) == F.col("w")).select("doc_id", "sent_id", "pos", "lp", "up")
+
+
+@query
+def unigram_reestimate(spark, d):
+    s = cleaned(spark, d)
+    return rounded(scores.reestimated_unigrams(corpus.tokens(s), s), 9, "up")
+
+
+@query
+def net_style_scores(spark, d):
+    return rounded(scores.net_style(reestimated_words(spark, d)), 6, *scores.SCORES)
+
+
+@query
+def kn_tag_prob(spark, d):
+    t = toks(spark, d).withColumn("tag", (F.length("word") % 7).cast("string"))
+    tagged = lexicon.joined(t.select("doc_id", "sent_id", "pos", F.col("tag").alias("word")))
+    wins = ngram.windows(tagged, 3)
+    both = wins.join(t.select(F.col("doc_id").alias("d"), F.col("sent_id").alias("s"), F.col("pos").alias("i"), "word", "tag"), (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s")) & (F.col("pos") == F.col("i")))
+    wf, tf = t.groupBy("word").agg(F.count("*").alias("freq")), t.groupBy("tag").agg(F.count("*").alias("freq"))
+    return rounded(ngram.tag_probabilities(ngram.kneser_ney(wins, 3), both, wf, tf).withColumn("ngram", JOIN("ngram")), 9, "p")

@@ -103,3 +103,32 @@ def unpivot_scores(df: DataFrame, id_cols: list[str]) -> DataFrame:
     """id columns, metric, score of a table of scores; missing ones are 0."""
     metrics = [c for c in df.columns if c not in id_cols]
     return df.unpivot(id_cols, metrics, "metric", "score").withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
+
+
+def read_pos_dictionary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tag_id, tag) of header lines `id:tag`, and (word, states) of lines `word id id ...`."""
+    head = F.col("line").rlike("^[0-9]+:[^ ]+$")
+    tags = lines.where(head).select(F.substring_index("line", ":", 1).cast("int").alias("tag_id"), F.expr("substring(line, instr(line, ':') + 1)").alias("tag"))
+    parts = F.split("line", " ")
+    words = lines.where(~head & (F.trim("line") != "")).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("int")).alias("states"))
+    return tags, words
+
+
+def read_debug_log(lines: DataFrame) -> DataFrame:
+    """word, p of lines `p( word | ...) = [...] p [ log ]` of a language model's debug log."""
+    got = lines.select(F.regexp_extract("line", r"^\s*p\( (\S+) \|", 1).alias("word"), F.regexp_extract("line", r"= (?:\[\S+\] )?(\S+) \[", 1).alias("p"))
+    return got.where("word <> ''").select("word", F.col("p").cast("double").alias("p"))
+
+
+def read_evaluations(lines: DataFrame) -> DataFrame:
+    """file, corpus, model, scores: the first line of numbers of each file; names are parts between dots."""
+    rows = lines.where(F.col("line").rlike(r"^([0-9][.][0-9]+\s*)+$")).groupBy("file").agg(F.first("line").alias("line"))
+    name = F.split(F.element_at(F.split("file", "/"), -1), "[.]")
+    return rows.select("file", name[0].alias("corpus"), F.get(name, F.size(name) - 3).alias("model"), F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("scores"))
+
+
+def read_annotated(lines: DataFrame) -> DataFrame:
+    """word and the columns N, F, R, GF, GR of annotated output lines."""
+    parts = F.split("line", r"\s+")
+    field = lambda k: F.regexp_extract("line", rf"(?:^|\s){k}:(\S+)", 1)
+    return lines.where(F.trim("line") != "").select(parts[0].alias("word"), field("N").cast("int").alias("state"), field("F").alias("one_to_one"), field("R").alias("many_to_one"), field("GF").alias("gold"), field("GR").alias("gold_reduced"))
