@@ -9,7 +9,8 @@ all windows of the bucket's strings are sorted; the first of equal windows has t
    minimisers, so only those seen in two documents matter.
 2. Documents with such super-k-mers (compressed) meet the positions of theirs and are packed.
 3. Equal strings of a bucket are combined before the shuffle, with their smallest document.
-   A bucket of over MOST different strings deals out its windows by their text instead.
+   A bucket of over MOST different strings is never brought together: its windows are dealt out by
+   their text, combined before the shuffle.
 4. Windows whose first document is smaller are joined to spans of words, and the spans cut
    from their documents.
 
@@ -35,7 +36,9 @@ from .common import LAST_ID, chunks, map_arrow, text_of, written
 
 WINDOW, MER = 50, 12
 #: Windows of a super-k-mer, and strings of a bucket that are sorted in one place.
-LONGEST, MOST = 200, 20_000
+LONGEST, MOST = 200, 10_000
+#: Large buckets whose names may be broadcast.
+MOST_LARGE = 1_000_000
 #: Bytes whose words are hashed at once.
 PIECE = 4 << 20
 #: The six ASCII characters between words.
@@ -197,22 +200,19 @@ def first_documents(strings: list[bytes], docs: list[int]) -> list[list[int]]:
     return out
 
 
-def sorted_buckets(rows: DataFrame, most: int) -> DataFrame:
-    """id, firsts (of each window) of the strings of each bucket; strings of buckets with over `most` come back as they are."""
-    form = pa.schema([("mini", pa.int64()), ("id", pa.binary()), ("string", pa.binary()), ("doc", pa.int64()), ("firsts", pa.list_(pa.int64()))])
+def sorted_buckets(rows: DataFrame) -> DataFrame:
+    """mini, id, firsts (of each window) of the strings of each bucket."""
+    form = pa.schema([("mini", pa.int64()), ("id", pa.binary()), ("firsts", pa.list_(pa.int64()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        mini, ids, strings, docs, over = None, [], [], [], False
+        mini, ids, strings, docs = None, [], [], []
         done: dict[str, list] = {k: [] for k in form.names}
 
         def end():
             if ids:
-                n = len(ids)
-                done["mini"] += [mini] * n
+                done["mini"] += [mini] * len(ids)
                 done["id"] += ids
-                done["doc"] += docs
-                done["string"] += strings if over else [None] * n
-                done["firsts"] += [None] * n if over else first_documents(strings, docs)
+                done["firsts"] += first_documents(strings, docs)
 
         def flush():
             got = pa.RecordBatch.from_pydict(done, form)
@@ -224,24 +224,19 @@ def sorted_buckets(rows: DataFrame, most: int) -> DataFrame:
             for m, i, s, d in zip(*(b.column(c).to_pylist() for c in ("mini", "id", "string", "doc")), strict=True):
                 if m != mini:
                     end()
-                    mini, ids, strings, docs, over = m, [], [], [], False
+                    mini, ids, strings, docs = m, [], [], []
+                    if len(done["id"]) >= 5000:
+                        yield flush()
                 ids.append(i)
                 strings.append(s)
                 docs.append(d)
-                if len(ids) > most:
-                    over = True
-                if over and len(ids) >= 1000:
-                    end()
-                    ids, strings, docs = [], [], []
-                if len(done["id"]) >= 5000:
-                    yield flush()
         end()
         if done["id"]:
             yield flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "mini").sortWithinPartitions("mini")
-    return dealt.mapInArrow(run, "mini long, id binary, string binary, doc long, firsts array<long>")
+    return dealt.mapInArrow(run, "mini long, id binary, firsts array<long>")
 
 
 def dealt_windows(big: DataFrame) -> DataFrame:
@@ -313,12 +308,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     per = mine.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "n", "mini")).alias("at"))
     hits = written(compressed(rows).join(per, ["doc", "key"]).dropDuplicates(["doc", "key"]), "hits")
     strings = written(packed(hits), "strings")
-    once = strings.groupBy("mini", "id", "string").agg(F.min("doc").alias("doc"))
-    met = written(sorted_buckets(once, most), "buckets")
-    firsts = met.where("firsts IS NOT NULL").select("mini", "id", "firsts")
-    big = met.where("firsts IS NULL")
-    if not big.isEmpty():
-        firsts = firsts.unionByName(written(dealt_windows(big), "buckets"))
+    once = written(strings.groupBy("mini", "id", "string").agg(F.min("doc").alias("doc")), "once")
+    # buckets are counted before they meet: a large one never comes into one task
+    large = written(once.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("mini").alias("of")), "large")
+    n = large.count()
+    if n:
+        large = F.broadcast(large) if n <= MOST_LARGE else large
+        small, big = (once.join(large, F.col("mini") == F.col("of"), how) for how in ("left_anti", "left_semi"))
+        firsts = written(sorted_buckets(small), "buckets").unionByName(written(dealt_windows(big), "buckets"))
+    else:
+        firsts = written(sorted_buckets(once), "buckets")
     firsts = firsts.where(F.size("firsts") > 0).withColumn("lo", F.array_min("firsts"))
     back = strings.select("doc", "key", "first", "mini", "id").join(firsts, ["mini", "id"]).where("lo < doc")
     spans = covered(back.select("doc", "key", "first", "firsts", F.lit(b"").alias("size")))
