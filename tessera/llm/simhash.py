@@ -23,8 +23,7 @@ all are null; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,17 +88,19 @@ def remixed(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1) -> DataFrame:
-    """id and w0, w1, ...: the fingerprint in 64-bit words, each as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, words: int = 1, once: bool = False) -> DataFrame:
+    """id, text_hash and w0, w1, ...: the fingerprint in 64-bit words, each as a signed long; `once` counts repeated shingles once."""
 
     def one(b):
         lists = [shingle_hashes(x, k) for x in b.column("text").cast(pa.binary()).to_pylist()]
+        if once:
+            lists = [np.unique(np.array(x, np.uint64)) for x in lists]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate([np.array(x, np.uint64) for x in lists]) if len(lists) else np.zeros(0, np.uint64)
-        return {"id": b.column("id")} | {f"w{w}": pa.array(majority(remixed(flat, w), counts).view(np.int64)) for w in range(words)}
+        return {"id": b.column("id"), "text_hash": b.column("text_hash")} | {f"w{w}": pa.array(majority(remixed(flat, w), counts).view(np.int64)) for w in range(words)}
 
     kind = df.schema[id_col].dataType.simpleString()
-    got = map_arrow(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), one, f"id {kind}, " + ", ".join(f"w{w} long" for w in range(words)), "text", 2 << 20)
+    got = map_arrow(df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text")), one, f"id {kind}, text_hash long, " + ", ".join(f"w{w} long" for w in range(words)), "text", 2 << 20)
     return got.withColumnRenamed("id", id_col)
 
 
@@ -191,44 +192,57 @@ def reached(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
                 left = left[~near]
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], ring: Ring, most: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: links (bucket null, a, b), and the rows of buckets with over `most` rows (bucket, a)."""
-    names = ["bucket", "salt", "node", *[f"w{w}" for w in range(ring.words)]]
+def bucket_starts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and lengths of the buckets (the first two columns) of sorted rows."""
+    key = rows[:, :2]
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+    return starts, np.diff(np.append(starts, len(rows)))
+
+
+def within_short(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows i and an offset d: i and i + d are in one bucket of at most SHORT rows."""
+    n = int(lengths.sum())
+    run = np.repeat(np.arange(len(starts)), lengths)
+    short = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT), lengths))
+    for d in range(1, int(lengths[lengths <= SHORT].max(initial=1))):
+        i = short[short + d < n]
+        i = i[run[i] == run[i + d]]
+        if len(i):
+            yield i, d
+
+
+def spanning_links(rows: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray] | None:
+    """Links that span the components of rows (bucket, salt, node, words of the fingerprint) within the radius."""
+    starts, lengths = bucket_starts(rows)
+    fps, node, a, b = np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2], [], []
+    for i, d in within_short(starts, lengths):
+        i = i[ring.close((rows[i, 0] >> 48).astype(np.int64), fps[i], fps[i + d])]
+        a.append(i)
+        b.append(i + d)
+    for s, n in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
+        for i, hit in reached(fps[s : s + n], ring.t):
+            a.append(np.full(len(hit), s + i))
+            b.append(s + hit)
+    if not a or not sum(map(len, a)):
+        return None
+    a, b = np.concatenate(a), np.concatenate(b)
+    seen, at = np.unique(node[np.concatenate([a, b])], return_inverse=True)
+    x, y = spanning(len(seen), at[: len(a)], at[len(a) :])
+    return seen[x], seen[y]
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], payload: list[str], meet: Callable, most: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: meet's links (bucket null, a, b), and the rows of buckets with over `most` rows (bucket, a)."""
+    names = ["bucket", "salt", "node", *payload]
     held: list[np.ndarray] = []  # an array of int64 rows for each batch
     size, over = 0, None
 
-    def out(bucket, a, b, fps):
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.array(fps[:, w] if len(fps) else [None] * len(a), pa.int64()) for w in range(ring.words)]], names=["bucket", "a", "b", *names[3:]])
+    def out(bucket, a, b, rest):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.array(rest[:, j] if rest is not None else [None] * len(a), pa.int64()) for j in range(len(payload))]], names=["bucket", "a", "b", *payload])
 
     def big(rows):
         return out(rows[:, 0], rows[:, 2], rows[:, 2], rows[:, 3:])
 
-    def links(rows):
-        key = rows[:, :2]
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        lengths = np.diff(np.append(starts, len(rows)))
-        fps, node, a, b = np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2], [], []
-        run = np.repeat(np.arange(len(starts)), lengths)
-        short = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT), lengths))
-        longest = int(lengths[lengths <= SHORT].max(initial=1))
-        for d in range(1, longest):
-            i = short[short + d < len(rows)]
-            i = i[run[i] == run[i + d]]
-            if len(i):
-                i = i[ring.close((rows[i, 0] >> 48).astype(np.int64), fps[i], fps[i + d])]
-                a.append(i)
-                b.append(i + d)
-        for s, n in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
-            for i, hit in reached(fps[s : s + n], ring.t):
-                a.append(np.full(len(hit), s + i))
-                b.append(s + hit)
-        if not a or not sum(map(len, a)):
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        seen, at = np.unique(node[np.concatenate([a, b])], return_inverse=True)
-        x, y = spanning(len(seen), at[: len(a)], at[len(a) :])
-        return out(np.full(len(x), None), seen[x], seen[y], np.zeros((0, ring.words), np.int64))
-
     def cut(rows, last):
         """Yields results of whole buckets of rows; returns the rest."""
         nonlocal over
@@ -244,15 +258,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch], ring: Ring, most: int, chunk
         tail = len(rows) if last else int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1)).max(initial=-1)) + 1
         whole, rest = rows[:tail], rows[tail:]
         if len(whole):
-            key = whole[:, :2]
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            lengths = np.diff(np.append(starts, len(whole)))
+            _, lengths = bucket_starts(whole)
             if lengths.max() > most:
                 large = np.repeat(lengths > most, lengths)
                 yield big(whole[large])
                 whole = whole[~large]
-            if len(whole) and (got := links(whole)) is not None:
-                yield got
+            if len(whole) and (got := meet(whole)) is not None:
+                yield out([None] * len(got[0]), *got, None)
         if len(rest) > most:
             over = rest[0, :2].copy()
             yield big(rest)
@@ -269,73 +281,76 @@ def bucket_links(batches: Iterator[pa.RecordBatch], ring: Ring, most: int, chunk
         yield from cut(np.concatenate(held), True)
 
 
-def links(nodes: DataFrame, ring: Ring, most: int = MOST) -> DataFrame:
-    """a, b: links that connect all nodes within the radius as far as their buckets meet. nodes: node, w0, w1, ..., each fingerprint once."""
+def links(nodes: DataFrame, words: int, payload: list[str], send: Callable, meet: Callable, most: int = MOST) -> DataFrame:
+    """a, b: what `meet` finds in the buckets of nodes (node, w0, w1, ..., each fingerprint once).
+
+    `send` gives row numbers, buckets and payload columns (int64 rows) of fingerprints; `meet` gives links
+    of nodes of whole buckets.
+    """
     spark = nodes.sparkSession
-    words = [f"w{w}" for w in range(ring.words)]
+    columns = [f"w{w}" for w in range(words)]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    form = "bucket long, salt long, node long, " + ", ".join(f"{w} long" for w in words)
-    out = "bucket long, a long, b long, " + ", ".join(f"{w} long" for w in words)
+    rest = "".join(f", {c} long" for c in payload)
+    form, out = f"bucket long, salt long, node long{rest}", f"bucket long, a long, b long{rest}"
 
-    def send(batches):
+    def deal(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                fps = np.stack([b.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-                i, bucket = ring.buckets(fps)
-                cols = [pa.array(bucket.astype(np.int64)), pa.array(np.zeros(len(i), np.int64)), b.column("node").take(pa.array(i)), *[pa.array(fps[i, w].view(np.int64)) for w in range(ring.words)]]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "salt", "node", *words])
+                fps = np.stack([b.column(w).to_numpy() for w in columns], axis=1).view(np.uint64)
+                i, bucket, load = send(fps)
+                cols = [pa.array(bucket.astype(np.int64)), pa.array(np.zeros(len(i), np.int64)), b.column("node").take(pa.array(i)), *[pa.array(load[:, j]) for j in range(len(payload))]]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "salt", "node", *payload])
 
     def met(rows: DataFrame, most: int) -> DataFrame:
         dealt = rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-        return dealt.mapInArrow(lambda batches: bucket_links(batches, ring, most), out)
+        return dealt.mapInArrow(lambda batches: bucket_links(batches, payload, meet, most), out)
 
-    first = written(met(nodes.select("node", *words).mapInArrow(send, form), most), "links")
+    first = written(met(nodes.select("node", *columns).mapInArrow(deal, form), most), "links")
     found = first.where("bucket IS NULL").select("a", "b")
     big = first.where("bucket IS NOT NULL")
     if not big.isEmpty():
         sizes = big.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(most)).alias("k")).withColumnRenamed("bucket", "of")
         rows = big.join(sizes, F.col("bucket") == F.col("of")).withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        rows = rows.select("bucket", (F.least("s", "o") * F.col("k") + F.greatest("s", "o")).alias("salt"), F.col("a").alias("node"), *words)
+        rows = rows.select("bucket", (F.least("s", "o") * F.col("k") + F.greatest("s", "o")).alias("salt"), F.col("a").alias("node"), *payload)
         found = found.unionByName(written(met(rows, 1 << 40), "links").select("a", "b"))
     return found
 
 
-def groups(fps: DataFrame, ring: Ring, id_col: str = "doc_id", most: int = MOST) -> DataFrame:
-    """Each row of fps with component_id, the smallest id reachable over links within the radius."""
-    words = [f"w{w}" for w in range(ring.words)]
-    per = fps.groupBy(*words).agg(F.min(id_col).alias("least"))
-    # a node is named by its smallest id; fingerprints of rows without ids by a negative hash
-    nodes = written(per.withColumn("node", F.coalesce(F.col("least").cast("long"), -F.abs(F.xxhash64(*words) % (1 << 62)) - 1)), "nodes")
-    found = written(components(links(nodes, ring, most)), "roots")
-    with_root = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = with_root.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = with_root.join(smallest, "root", "left").select(*[F.col(w).alias(f"of_{w}") for w in words], F.coalesce("component_id", "least").alias("component_id"))
+def name_of_node(words: list[str]):
+    """A node is named by its smallest id, `least`; fingerprints of rows without ids by a negative hash."""
+    return F.coalesce(F.col("least").cast("long"), -F.abs(F.xxhash64(*words) % (1 << 62)) - 1)
+
+
+def named(fps: DataFrame, nodes: DataFrame, found: DataFrame, words: list[str]) -> DataFrame:
+    """Each row of fps with component_id, from nodes (node, least, words) and links."""
+    roots = written(components(found), "roots")
+    with_root = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = with_root.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    names = with_root.join(smallest, "root", "left").select(*[F.col(w).alias(f"of_{w}") for w in words], F.coalesce("component_id", "least").alias("component_id"))
     same = None
     for w in words:
         same = (F.col(w) == F.col(f"of_{w}")) if same is None else same & (F.col(w) == F.col(f"of_{w}"))
-    return fps.join(named, same).drop(*[f"of_{w}" for w in words])
+    return fps.join(names, same).drop(*[f"of_{w}" for w in words])
 
 
-#: The ring of the registered query: 64 bits, radius 4 in five segments, exact.
-EXACT = Ring(1, 5, 4, True)
-#: Of five-word shingles with a similarity of 0.8 (cosine 0.889, so 39 of 256 bits): all within 12 bits meet surely.
-WIDE = Ring(4, 25, 39, False)
+def groups(fps: DataFrame, ring: Ring, id_col: str = "doc_id", most: int = MOST) -> DataFrame:
+    """Each row of fps with component_id, the smallest id reachable over links within the radius."""
+    words = [f"w{w}" for w in range(ring.words)]
+    nodes = written(fps.groupBy(*words).agg(F.min(id_col).alias("least")).withColumn("node", name_of_node(words)), "nodes")
 
+    def send(f):
+        i, bucket = ring.buckets(f)
+        return i, bucket, f[i].view(np.int64)
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, ring: Ring = WIDE) -> DataFrame:
-    """id and component_id of each row, by fingerprints of k-word shingles."""
-    fps = written(fingerprints(df, id_col, text_col, k, ring.words), "fingerprints")
-    return groups(fps, ring, id_col).select(id_col, "component_id")
+    return named(fps, nodes, links(nodes, ring.words, words, send, lambda rows: spanning_links(rows, ring), most), words)
 
 
+#: The ring of the registered query: 64 bits, radius 4 in five segments, exact.
+EXACT = Ring(1, 5, 4, True)
+
 def op5(spark, docs: DataFrame) -> DataFrame:
     fps = written(fingerprints(docs), "fingerprints")
     hexed = F.lower(F.lpad(F.hex("w0"), 16, "0"))
     return groups(fps, EXACT).select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-def radius_for(similarity: float, bits: int) -> int:
-    """Expected differing bits of two shingle sets with this Jaccard similarity."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from tessera.llm import decontaminate as D
+from tessera.llm import near_duplicate as N
 from tessera.llm import simhash as S
 from tessera.llm import substring_dedup as X
 from tessera.llm.components import components
@@ -90,18 +91,59 @@ def test_buckets_meet_all_within_the_radius():
         assert n and S.EXACT.close(chain, np.repeat(a[i : i + 1, None], n, 0), np.repeat(b[i : i + 1, None], n, 0)).any()
 
 
-def test_near_duplicates_of_five_words(spark):
-    rows = corpus()
-    got = {r.doc_id: r.component_id for r in S.near_duplicates(frame(spark, rows)).collect()}
-    assert {got[i] for i in (*range(60, 110), 130)} == {60}
-    alone = [i for i in range(60) if len((dict(rows)[i] or "").split()) > 30]
-    assert all(got[i] == i for i in alone)
-    assert S.radius_for(0.8, 256) == 38 or S.radius_for(0.8, 256) == 39
+def alike(x, y, k=5):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    a, b = shingles(x), shingles(y)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("most", [S.MOST, 30])
+def test_near_duplicates_of_five_words(spark, most):
+    """Groups are those of all exact similarities: of pairs around 0.8 on either side, and of a group beyond a bucket's size."""
+    rnd, rows = random.Random(21), corpus()
+    for g in range(40):
+        base = words(rnd.randint(80, 300), rnd)
+        for _ in range(2):
+            w = list(base)
+            for _ in range(rnd.randint(0, len(base) // 40)):
+                w[rnd.randrange(len(w))] = rnd.choice(VOCAB) + "q"
+            rows.append((200 + len(rows), " ".join(w)))
+    got = N.near_duplicates(frame(spark, rows), most=most).collect()
+    texts = [x for _, x in rows]
+    sims = {(i, j): alike(texts[i], texts[j]) for i in range(len(rows)) for j in range(i)}
+    roots = grouped(list(range(len(rows))), lambda i, j: sims[i, j] >= 0.8)
+    sure = grouped(list(range(len(rows))), lambda i, j: sims[i, j] >= 0.85)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.doc_id, r.component_id)
+    own = [mine[i] for i, _ in rows]
+    assert len(got) == len(rows) and sum(0.7 <= s < 0.8 for s in sims.values()) > 3
+    missed = 0
+    for i, j in sims:
+        assert own[i] != own[j] or roots[i] == roots[j]
+        assert own[i] == own[j] or sure[i] != sure[j]
+        missed += own[i] != own[j] and roots[i] == roots[j]
+    assert missed <= 1
+
+
+def test_forest_links_what_the_radius_links():
+    rnd = np.random.default_rng(8)
+    fps = rnd.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    fps = np.concatenate([fps, fps ^ (np.uint64(1) << rnd.integers(0, 40, (40, 4)).astype(np.uint64)), fps[:3]])
+    a, b = N.forest(fps, 9)
+    want = grouped([tuple(map(int, x)) for x in fps], lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y)) <= 9)
+    x, y = S.spanning(len(fps), a, b)
+    root = np.arange(len(fps))
+    root[x] = y
+    assert len(a) == len(fps) - len(set(want)) and len({(r, w) for r, w in zip(root.tolist(), want)}) == len(set(want))
 
 
 def test_empty_tables(spark):
     none = frame(spark, corpus()).where("false")
-    assert S.near_duplicates(none).count() == 0
+    assert N.near_duplicates(none).count() == 0
     assert [x.count() for x in X.deduplicate(none)] == [0, 0]
     assert D.contamination(none, none.selectExpr("doc_id AS item_id", "text")).count() == 0
 
