@@ -428,6 +428,43 @@ def gibbs_hmm(spark, d):
     return bayes.induced_classes(states).select("doc_id", "sent_id", JOIN("tokens").alias("classes"))
 
 
+def layered(spark, d, model, sweeps: int = 2) -> DataFrame:
+    """Sentences with the layers of a trained model, its number of words being known from the corpus."""
+    from tessera.operators import layers
+
+    rows, n = sampler_input(spark, d)
+    m, docs = layers.train(rows, model(layers, n), sweeps=sweeps)
+    digits = [F.array_join(F.col(c), " ").alias(c) for c in m.names]
+    return layers.layers_of(docs, m).select("doc_id", "sent_id", *digits)
+
+
+@query
+def gibbs_topics(spark, d):
+    return layered(spark, d, lambda m, n: m.Topics(5, n, topics=5))
+
+
+@query
+def gibbs_content(spark, d):
+    return layered(spark, d, lambda m, n: m.Content(5, n, content=2, content_prior=0.1))
+
+
+@query
+def gibbs_two_tier(spark, d):
+    return layered(spark, d, lambda m, n: m.TwoTier(5, n, chunks=3))
+
+
+@query
+def gibbs_chunks(spark, d):
+    """Chunks of induced states: the two-tier model's states are the chunk model's symbols."""
+    from tessera.operators import layers
+
+    rows, n = sampler_input(spark, d)
+    m, docs = layers.train(rows, layers.TwoTier(5, n, chunks=3), sweeps=1)
+    states = layers.layers_of(docs, m).select("doc_id", "sent_id", F.col("state").alias("words"))
+    m, docs = layers.train(states, layers.Chunks(0, 5), sweeps=1)
+    return layers.layers_of(docs, m).select("doc_id", "sent_id", F.array_join("words", " ").alias("states"), F.array_join("end", " ").alias("ends"))
+
+
 @query
 def sampled_log_probability(spark, d):
     from tessera.operators import bayes
