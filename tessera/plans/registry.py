@@ -485,6 +485,17 @@ def bigram_network(spark, d):
     return spark.createDataFrame(list(enumerate(losses)), "epoch long, loss double")
 
 
+@query
+def recurrent_network(spark, d):
+    """Loss a word over the first pass of a net with n-gram features."""
+    from tessera.operators import recurrent
+
+    rows, n = sampler_input(spark, d)
+    seen = {r["w"]: r["n"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toLocalIterator()}
+    net = recurrent.Net([seen.get(i, 1) for i in range(n)], hidden=8, direct=1 << 16)
+    return spark.createDataFrame([(1, recurrent.one_pass(rows, net, 0.1, 64)[1])], "epoch long, loss double")
+
+
 def reestimated_words(spark, d) -> DataFrame:
     """Word log-probabilities with unigrams re-estimated from the cleaned corpus."""
     s = cleaned(spark, d)
