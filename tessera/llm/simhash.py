@@ -324,11 +324,11 @@ def name_of_node(words: list[str]):
 
 
 def named(fps: DataFrame, nodes: DataFrame, found: DataFrame, words: list[str]) -> DataFrame:
-    """Each row of fps with component_id, from nodes (node, least, words) and links."""
+    """Each row of fps with component_id and root (the component's node), from nodes (node, least, words) and links."""
     roots = written(components(found), "roots")
     with_root = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = with_root.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    names = with_root.join(smallest, "root", "left").select(*[F.col(w).alias(f"of_{w}") for w in words], F.coalesce("component_id", "least").alias("component_id"))
+    names = with_root.join(smallest, "root", "left").select(*[F.col(w).alias(f"of_{w}") for w in words], F.coalesce("component_id", "least").alias("component_id"), "root")
     same = None
     for w in words:
         same = (F.col(w) == F.col(f"of_{w}")) if same is None else same & (F.col(w) == F.col(f"of_{w}"))
