@@ -158,7 +158,9 @@ def test_huffman(arity):
 
 
 def test_network(spark):
-    rows = [([0, 1, 2, 0, 1, 2, 0, 1, 2],)] * 30
-    a, b, loss = neural.train_bigram(spark.createDataFrame(rows, "words array<int>").repartition(2), 3, hidden=4, epochs=6, rate=0.3)
+    rows = [(i, 0, [0, 1, 2, 0, 1, 2, 0, 1, 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_id long, words array<int>")
+    a, b, loss = neural.train_bigram(df.repartition(2), 3, hidden=4, epochs=6, rate=0.3, shards=2)
+    assert np.allclose(loss, neural.train_bigram(df.coalesce(1), 3, hidden=4, epochs=6, rate=0.3, shards=2)[2])
     assert loss[-1] < loss[0] and abs(neural.next_words(a, b, 0).sum() - 1) < 1e-9
     assert neural.generate(a, b, 0, 2, 1) == neural.generate(a, b, 0, 2, 1)
