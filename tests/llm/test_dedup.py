@@ -129,6 +129,25 @@ def test_near_duplicates_of_five_words(spark, most):
     assert missed <= 1
 
 
+@pytest.mark.parametrize("most", [S.MOST, 30])
+def test_near_duplicates_lose_no_short_text(spark, most):
+    """Texts of 8 words and the same with one more (4 of 5 shingles), 12 of 15, and a large bucket of texts around one phrase: the groups are the exact ones."""
+    rnd, rows = random.Random(5), []
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    for n, more in [(8, 1)] * 60 + [(16, 3)] * 40:
+        w = own(n)
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + own(more)))]
+    phrase = own(9)
+    for _ in range(60):
+        w = phrase + own(rnd.randint(0, 12))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + own(rnd.randint(1, 4))))]
+    texts = [x for _, x in rows]
+    want = grouped(list(range(len(rows))), lambda i, j: alike(texts[i], texts[j]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(frame(spark, rows), most=most).collect()}
+    mine = [got[i] for i, _ in rows]
+    assert len({(a, b) for a, b in zip(mine, want)}) == len(set(mine)) == len(set(want))
+
+
 def test_forest_links_what_the_radius_links():
     rnd = np.random.default_rng(8)
     fps = rnd.integers(0, 2**63, (40, 4)).astype(np.uint64)
