@@ -1,6 +1,6 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
-A benchmark item of n words is looked for in every window of n words of every document.
+A benchmark item of n words is looked for in every window of n words of every document, and in documents of fewer words as they are.
 
 * Shingles are five words (shorter items: all their words), lower-cased in A-Z. A window of as many
   shingles as its item has, with a weighted similarity of 0.8 or more, has to
@@ -10,6 +10,8 @@ A benchmark item of n words is looked for in every window of n words of every do
   every block under all such values. So each item within the radius is met.
 * Those of the window's size and within the radius are verified on words: the weighted Jaccard similarity of
   shingles, weights being how often they occur.
+* A document of fewer words than an item is one window, as a whole. Items that share as many shingles with it as
+  their two sizes ask for are verified in the same way, without fingerprints.
 
 Items are worked on in blocks of at most ITEMS, each sent to all tasks, so what is sent has a
 bound, whatever the benchmark's size. Null texts are empty; empty items are never
@@ -74,10 +76,15 @@ class Items:
         shingles = [runs(h, min(K, len(h))) for h in hashes]
         self.fp = np.array([simhash(s[None])[0] for s in shingles], U)
         self.known = {k: np.unique(np.concatenate([s for s, n in zip(shingles, self.size, strict=True) if min(K, n) == k])) for k in {min(K, int(n)) for n in self.size}}
-        self.maps = {}
+        self.maps, self.holders = {}, {}
         for k, v in self.known.items():
             self.maps[k] = np.zeros(1 << 19, bool)
             self.maps[k][(v >> U(45)).astype(np.int64)] = True
+            own = [i for i, n in enumerate(self.size) if min(K, n) == k]
+            held = [np.unique(shingles[i]) for i in own]
+            flat, who = np.concatenate(held), np.repeat(own, [len(x) for x in held])
+            order = np.argsort(flat, kind="stable")
+            self.holders[k] = flat[order], who[order]
         self.lists = []
         for lo, hi in zip(BLOCKS, BLOCKS[1:], strict=False):
             value = ((self.fp >> U(lo)) & U((1 << (hi - lo)) - 1)).astype(np.int64)
@@ -110,8 +117,16 @@ class Items:
         out[at] = self.known[k][place] == s[at]
         return out
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, float]]:
-        """(document, item, first word, distance, similarity): the best window of each document and item, the first of equals."""
+    def holding(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in s, item) of all items that hold a shingle."""
+        flat, who = self.holders[k]
+        lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+        n = hi - lo
+        at = np.repeat(np.arange(len(s)), n)
+        return at, who[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, float, int]]:
+        """(document, item, first word, distance, similarity, words): the best window of each document and item, the first of equals."""
         lowered = [x.lower() for x in texts]
         starts, h = word_hashes(b"\n".join(lowered))
         first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lowered)]))
@@ -123,6 +138,17 @@ class Items:
                 continue
             hit = self.has(s, k)
             total = np.concatenate([[0], np.cumsum(hit)])
+            # documents shorter than an item: what they share is at least SIMILARITY / (1 + SIMILARITY) of both sizes
+            share, own = SIMILARITY / (1 + SIMILARITY), np.diff(first) - k + 1
+            short = np.flatnonzero((own > 0) & (own < self.size[np.minimum(self.size, K) == k].max() - k + 1))
+            for i in short[total[first[short] + own[short]] - total[first[short]] >= share * (2 * own[short] + 1) - 1e-9].tolist():
+                mine = s[first[i] : first[i] + own[i]]
+                shared, sizes = np.bincount(self.holding(mine, k)[1], minlength=len(self.size)), self.size - k + 1
+                for item in np.flatnonzero((sizes > own[i]) & (shared > 0) & (shared >= share * (sizes + own[i]) - 1e-9)).tolist():
+                    words.setdefault(i, lowered[i].split())
+                    sim = weighted(words[i], self.words[item], k)
+                    if sim >= SIMILARITY:
+                        best[i, item] = (-sim, 0, int(np.bitwise_count(simhash(mine[None])[0] ^ self.fp[item])))
             for n in np.unique(self.size[np.minimum(self.size, K) == k]).tolist():
                 count = n - k + 1
                 need = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * count - 1e-9))
@@ -145,7 +171,8 @@ class Items:
                         sim = weighted(words[i][p : p + n], self.words[item], k)
                         if sim >= SIMILARITY and (-sim, p) < best.get((i, item), (0, 0))[:2]:
                             best[i, item] = (-sim, p, dist)
-        return [(i, item, p, dist, -sim) for (i, item), (sim, p, dist) in sorted(best.items())]
+        length = np.diff(first)
+        return [(i, item, p, dist, -sim, int(min(self.size[item], length[i]))) for (i, item), (sim, p, dist) in sorted(best.items())]
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -165,7 +192,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             ids, got = b.column("id"), index[0].find(b.column("text").cast(pa.binary()).to_pylist())
             return {
                 "id": ids.take(pa.array([g[0] for g in got], pa.int64())), "item": [index[0].ids[g[1]] for g in got], "first_word": [g[2] for g in got],
-                "n_words": [int(index[0].size[g[1]]) for g in got], "distance": [g[3] for g in got], "similarity": [g[4] for g in got],
+                "n_words": [g[5] for g in got], "distance": [g[3] for g in got], "similarity": [g[4] for g in got],
             }
 
         return map_arrow(docs, one, form, "text", 2 << 20)

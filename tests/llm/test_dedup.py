@@ -245,3 +245,23 @@ def test_contamination(spark):
                 if best[0] >= 0.8:
                     want.add((i, item, -best[1], round(best[0], 9)))
     assert got == want and len(want) > 7
+
+
+def test_contamination_of_documents_shorter_than_an_item():
+    """A document that is an item without some of its words is found by its own size, as plain loops find it."""
+    rnd = random.Random(12)
+    items = [f"q{i} " + " ".join(words(rnd.randint(3, 60), rnd)) for i in range(30)] + [" ".join(["a b"] * 20)]
+    docs = ["", "a", " ".join(["a b"] * 18), " ".join(["a b"] * 12)]
+    for x in items[:30]:
+        w = x.split()
+        docs += [" ".join(w[rnd.randint(0, 2) : len(w) - rnd.randint(1, 6)]), " ".join(w[1:]).upper()]
+    docs.append(" ".join(max(items, key=len).split()[:-2]))
+    index = D.Items(list(range(len(items))), [x.encode() for x in items])
+    got = {(i, item, n, round(sim, 9)) for i, item, p, _, sim, n in index.find([x.encode() for x in docs]) if n < index.size[item] and p == 0}
+    want = set()
+    for i, x in enumerate(docs):
+        w = x.encode().lower().split()
+        for item, v in enumerate(index.words):
+            if len(w) < len(v) and (sim := D.weighted(w, v, min(5, len(v)))) >= 0.8:
+                want.add((i, item, len(w), round(sim, 9)))
+    assert got == want and len(want) > 20
