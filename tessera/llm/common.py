@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 LAST_ID = (1 << 63) - 1
 #: Bytes of a Parquet row group that holds large binary cells.
 BLOB_ROW_GROUP = 8 << 20
+#: Bytes of an Arrow batch on its way to Python; Spark's own bound (64 MB, 10,000 rows) is too much for whole texts.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is configured."""
+    """The folder all executors share. Only in local mode, where none is configured, is a temporary one made."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -47,11 +51,12 @@ def written(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
     return again
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() once nothing reads it any more."""
-    spark, path = df.sparkSession, df._tessera_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_of(col: str = "text"):
@@ -76,6 +81,14 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str, most: int = 4 << 20) ->
         yield b.slice(start)
 
 
+def to_python(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of about BATCH bytes, or of what the session sets below Spark's own bound."""
+    conf = df.sparkSession.conf
+    if int(re.match(r"\d+", conf.get(BATCH_SETTING))[0]) >= 64 << 20:
+        conf.set(BATCH_SETTING, str(BATCH))
+    return df.mapInArrow(f, schema)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, col: str, most: int = 4 << 20) -> DataFrame:
     """Apply f to bounded slices; f returns a dict of columns in the order of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,4 +101,4 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
             got = f(b)
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return to_python(df, run, schema)

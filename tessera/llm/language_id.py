@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of, written
+from .common import map_arrow, text_of, to_python, written
 
 BUCKETS, TEMPER, SAMPLE, STRENGTH, CONFIDENCE = 1 << 15, 0.1, 1000, 20.0, 0.5
 #: Hosts of the table of priors that may be broadcast.
@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample:
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j], pa.int64())], names=["i", "j", "n"])
 
     seen = np.zeros((len(languages), BUCKETS))
-    for r in texts.select("text", "label").mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in to_python(texts.select("text", "label"), count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toLocalIterator():
         seen[r["i"], r["j"]] = r["n"]
     table = np.log((seen + 0.5) / (seen.sum(1, keepdims=True) + 0.5 * BUCKETS))
     return Model(languages, np.concatenate([table, np.full((1, BUCKETS), -np.log(BUCKETS))]))

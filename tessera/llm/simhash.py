@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of, written
+from .common import map_arrow, text_of, to_python, written
 from .components import components
 
 MOST = 16384
@@ -304,9 +304,9 @@ def links(nodes: DataFrame, words: int, payload: list[str], send: Callable, meet
 
     def met(rows: DataFrame, most: int) -> DataFrame:
         dealt = rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "node")
-        return dealt.mapInArrow(lambda batches: bucket_links(batches, payload, meet, most), out)
+        return to_python(dealt, lambda batches: bucket_links(batches, payload, meet, most), out)
 
-    first = written(met(nodes.select("node", *columns).mapInArrow(deal, form), most), "links")
+    first = written(met(to_python(nodes.select("node", *columns), deal, form), most), "links")
     found = first.where("bucket IS NULL").select("a", "b")
     big = first.where("bucket IS NOT NULL")
     if not big.isEmpty():

@@ -9,7 +9,7 @@ all windows of the bucket's strings are sorted; the first of equal windows has t
    minimisers, so only those seen in two documents matter.
 2. Documents with such super-k-mers (compressed) meet the positions of theirs and are packed.
 3. Equal strings of a bucket are combined before the shuffle, with their smallest document.
-   A bucket of over MOST different strings is never brought together: its windows are dealt out by
+   A bucket whose windows have over MOST bytes is never brought together: they are dealt out by
    their text, combined before the shuffle.
 4. Windows whose first document is smaller are joined to spans of words, and the spans cut
    from their documents.
@@ -32,15 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, chunks, map_arrow, text_of, written
+from .common import LAST_ID, chunks, discard, map_arrow, text_of, to_python, written
 
 WINDOW, MER = 50, 12
-#: Windows of a super-k-mer, and strings of a bucket that are sorted in one place.
-LONGEST, MOST = 200, 10_000
+#: Windows of a super-k-mer, and bytes of a bucket's windows that are sorted in one place.
+LONGEST, MOST = 200, 16 << 20
 #: Large buckets whose names may be broadcast.
 MOST_LARGE = 1_000_000
-#: Bytes whose words are hashed at once.
-PIECE = 4 << 20
+#: Bytes whose words are hashed at once; about 40 times as many are held meanwhile.
+PIECE = 256 << 10
 #: The six ASCII characters between words.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 U = np.uint64
@@ -57,28 +57,35 @@ BYTES = mixed(np.arange(1, 257, dtype=U))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word."""
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        end = len(data)
-        if end - at > PIECE:  # a piece ends at a space; a longer word stays whole
-            cut = [p for p in (data.find(c, at + PIECE) for c in (b" ", b"\n")) if p >= 0]
-            end = min(cut, default=end)
-        b = np.frombuffer(data, np.uint8, end - at, at)
+    """Start and hash of each word. A word that goes on in the next piece adds up over both."""
+    first, last, sums = [], [], []
+    since = 0  # where a word that has not ended began
+    for at in range(0, len(data), PIECE):
+        b = np.frombuffer(data, np.uint8, min(PIECE, len(data) - at), at)
         gap = SPACE[b]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        edge = np.concatenate([[0] if not gap[0] else [], edge, [len(b)] if not gap[-1] else []]).astype(np.int64)
-        first, last = edge[0::2], edge[1::2]
-        if len(first):
-            size = last - first
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            where = inner + np.repeat(first, size)
-            hashes.append(mixed(np.add.reduceat(BYTES[b[where]] * POWERS[inner & 4095], np.cumsum(size) - size) + size.astype(U)))
-            starts.append(first + at)
-        at = end
-    if not starts:
+        edge = np.concatenate([[0] if not gap[0] else [], edge, [len(b)] if not gap[-1] else []]).astype(np.int32)
+        begin, end = edge[0::2], edge[1::2]
+        if not len(begin):
+            continue
+        size = end - begin
+        heads = np.cumsum(size, dtype=np.int32) - size
+        inner = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(heads, size)
+        value = BYTES[b[inner + np.repeat(begin, size)]]
+        if begin[0] == 0 and last and last[-1][-1] == at:
+            inner[: size[0]] += (at - since) & 4095
+        value *= POWERS[inner & 4095]
+        if not (begin[-1] == 0 and last and last[-1][-1] == at):
+            since = at + int(begin[-1])
+        first.append(begin.astype(np.int64) + at)
+        last.append(end.astype(np.int64) + at)
+        sums.append(np.add.reduceat(value, heads))
+    if not first:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(starts), np.concatenate(hashes)
+    first, last, sums = map(np.concatenate, (first, last, sums))
+    heads = np.flatnonzero(np.concatenate([[True], first[1:] != last[:-1]]))
+    size = np.add.reduceat(last - first, heads)
+    return first[heads], mixed(np.add.reduceat(sums, heads) + size.astype(U))
 
 
 def window_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +134,7 @@ def minimisers(rows: DataFrame) -> DataFrame:
         keys = np.array([text_key(x) for x in texts], np.int64)
         return {"doc": ids[d], "key": keys[d], "first": first, "n": n, "mini": v.view(np.int64)}
 
-    return map_arrow(rows, one, "doc long, key long, first int, n int, mini long", "text", 2 << 20)
+    return map_arrow(rows, one, "doc long, key long, first int, n int, mini long", "text", 512 << 10)
 
 
 def whole(rows: DataFrame) -> DataFrame:
@@ -157,20 +164,20 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 
 def packed(hits: DataFrame) -> DataFrame:
-    """doc, key, first, mini, id (digest) and string of each super-k-mer listed in `at`."""
+    """doc, key, first, mini, id (digest), string and the bytes of its windows, of each super-k-mer listed in `at`."""
 
     def one(b):
         z = zstandard.ZstdDecompressor()
-        out = {k: [] for k in ("doc", "key", "first", "mini", "id", "string")}
+        out = {k: [] for k in ("doc", "key", "first", "mini", "id", "string", "weight")}
         for doc, key, blob, at in zip(*(b.column(c).to_pylist() for c in ("doc", "key", "z", "at")), strict=True):
             words = z.decompress(blob).split()
             for x in at:
                 string = b" ".join(words[x["first"] : x["first"] + x["n"] + WINDOW - 1])
-                for k, v in zip(out, (doc, key, x["first"], x["mini"], xxhash.xxh3_128_digest(string), string), strict=True):
+                for k, v in zip(out, (doc, key, x["first"], x["mini"], xxhash.xxh3_128_digest(string), string, len(string) * x["n"] * WINDOW // (x["n"] + WINDOW - 1)), strict=True):
                     out[k].append(v)
         return out
 
-    return map_arrow(hits, one, "doc long, key long, first int, mini long, id binary, string binary", "z", 256 << 10)
+    return map_arrow(hits, one, "doc long, key long, first int, mini long, id binary, string binary, weight long", "z", 256 << 10)
 
 
 def windows_of(string: bytes) -> list[bytes]:
@@ -236,7 +243,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "mini").sortWithinPartitions("mini")
-    return dealt.mapInArrow(run, "mini long, id binary, firsts array<long>")
+    return to_python(dealt, run, "mini long, id binary, firsts array<long>")
 
 
 def dealt_windows(big: DataFrame) -> DataFrame:
@@ -251,8 +258,10 @@ def dealt_windows(big: DataFrame) -> DataFrame:
         return out
 
     each = written(map_arrow(big, one, "mini long, id binary, i int, window binary, doc long", "string", 128 << 10), "windows")
-    least = each.groupBy("window").agg(F.min("doc").alias("first")).withColumnRenamed("window", "of")
-    rows = each.join(least, F.col("window") == F.col("of"))
+    least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    # written, so that the join meets the windows as they are and Spark can split those of a frequent one
+    least = written(least.select(F.col("window").alias("of"), "first"), "least")
+    rows = each.join(least, F.col("window") == F.col("of"), "left").withColumn("first", F.coalesce("first", "doc"))
     return rows.groupBy("mini", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "first"))), lambda x: x["first"]).alias("firsts"))
 
 
@@ -307,17 +316,19 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     mine = minis.join(shared, F.col("mini") == F.col("of")).dropDuplicates(["doc", "key", "first"])
     per = mine.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "n", "mini")).alias("at"))
     hits = written(compressed(rows).join(per, ["doc", "key"]).dropDuplicates(["doc", "key"]), "hits")
+    discard(minis)
     strings = written(packed(hits), "strings")
-    once = written(strings.groupBy("mini", "id", "string").agg(F.min("doc").alias("doc")), "once")
-    # buckets are counted before they meet: a large one never comes into one task
-    large = written(once.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("mini").alias("of")), "large")
+    once = written(strings.groupBy("mini", "id", "string").agg(F.min("doc").alias("doc"), F.first("weight").alias("weight")), "once")
+    # buckets are weighed before they meet: a large one never comes into one task
+    large = written(once.groupBy("mini").agg(F.sum("weight").alias("weight")).where(F.col("weight") > most).select(F.col("mini").alias("of")), "large")
     n = large.count()
     if n:
-        large = F.broadcast(large) if n <= MOST_LARGE else large
-        small, big = (once.join(large, F.col("mini") == F.col("of"), how) for how in ("left_anti", "left_semi"))
+        named = F.broadcast(large) if n <= MOST_LARGE else large
+        small, big = (once.join(named, F.col("mini") == F.col("of"), how) for how in ("left_anti", "left_semi"))
         firsts = written(sorted_buckets(small), "buckets").unionByName(written(dealt_windows(big), "buckets"))
     else:
         firsts = written(sorted_buckets(once), "buckets")
+    discard(once, large)
     firsts = firsts.where(F.size("firsts") > 0).withColumn("lo", F.array_min("firsts"))
     back = strings.select("doc", "key", "first", "mini", "id").join(firsts, ["mini", "id"]).where("lo < doc")
     spans = covered(back.select("doc", "key", "first", "firsts", F.lit(b"").alias("size")))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import piece_pattern
-from .common import LAST_ID, chunks, discard, map_arrow, text_of, written
+from .common import LAST_ID, chunks, discard, map_arrow, text_of, to_python, written
 from .substring_dedup import BYTES, POWERS, mixed
 
 SCALE, LANES, BLOCK, EVERY, SEGMENT = 20, 32, 32768, 256, 1 << 18
@@ -377,7 +377,7 @@ def segments(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
         if held:
             yield row()
 
-    return rows.mapInArrow(run, "part int, first long, doc_ids binary, lengths binary, ids binary")
+    return to_python(rows, run, "part int, first long, doc_ids binary, lengths binary, ids binary")
 
 
 def id_counts(segs: DataFrame, vocab: int, width: int) -> np.ndarray:
@@ -393,7 +393,7 @@ def id_counts(segs: DataFrame, vocab: int, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     out = np.zeros(vocab, np.int64)
-    for r in segs.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in to_python(segs.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["id"]] = r["n"]
     return out
 
