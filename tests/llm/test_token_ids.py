@@ -26,14 +26,31 @@ def test_tree_is_the_library():
     assert small.sound
     for x in texts(600):
         ids = small.encode(x)
-        assert ids == plain.core.encode_ordinary(x)
+        assert list(ids) == plain.core.encode_ordinary(x) == list(plain.encode(x))
         assert small.decode(ids, 3) == x.encode()
 
 
 def test_tree_of_a_text_without_any_cut():
     t = Tree(MULTI, P.PATTERN)
     x = "".join(random.Random(1).choice("abcdefgnerthing") for _ in range(30_000))
-    assert t.encode(x) == t.core.encode_ordinary(x)
+    for y in (x, " " + x, "  " + x[:4096] + "\n" + x, "漢字" * 5000, " " * 9000 + "a", x[:3000] + "'s" + x[:3000]):
+        assert list(t.encode(y)) == t.core.encode_ordinary(y)
+
+
+def test_tree_of_another_pattern():
+    t = Tree(MULTI, r"\w+|\W", leaf=5)
+    assert not t.known
+    for x in texts(100, 30):
+        assert list(t.encode(x)) == t.core.encode_ordinary(x)
+
+
+def test_tree_of_words_and_copies_of_documents(spark):
+    """Words in leaves of the registered size, against the library, over all documents of the smallest data."""
+    t = Tree(MULTI, P.PATTERN)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sum(len(x) > t.leaf for x in docs) > 0.8 * len(docs)
+    for x in docs:
+        assert list(t.encode(x)) == t.core.encode_ordinary(x)
 
 
 def test_round_trip_rows(spark):
@@ -48,8 +65,11 @@ def test_round_trip_rows(spark):
 
 def test_fast_tokens_are_the_library():
     t, lib = B.FastTokens(JSON), Tokenizer.from_file(JSON)
-    lib.encode_special_tokens = True
     many = texts(800)
+    word = "".join(random.Random(8).choices("abcdefgh", k=6000))
+    swapped = word[:4] + word[4100] + word[5:4100] + word[4] + word[4101:]  # bytes 4096 apart change places
+    many += [word + " " + swapped, swapped, word, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>"]
+    assert word != swapped and 50256 in lib.encode(many[-2], add_special_tokens=False).ids
     ids, n = t.encode([x.encode() for x in many])
     ends = np.cumsum(n)
     for x, e, k in zip(many, ends, n):
@@ -83,7 +103,6 @@ def test_corpus_files(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id").repartition(3)
     got = sorted(B.decode_corpus(*B.encode_corpus(df, JSON)).collect(), key=lambda r: r.start)
     lib, start = Tokenizer.from_file(JSON), 0
-    lib.encode_special_tokens = True
     want = sorted(rows, key=lambda r: (B.LAST_ID if r[0] is None else r[0], (r[1] or "").encode()))
     assert len(got) == len(rows)
     for (i, x), r in zip(want, got):
