@@ -83,6 +83,7 @@ class FastTokens:
     leaves its last character to what follows. So does a letter, digit or other
     character after one of another class. Next to apostrophes and to characters
     beyond ASCII that are no Latin-1 letters there is no cut; the pattern finds the pieces of such parts.
+    Texts that hold an added token of the file as text (such as an end mark) go to the library whole, which gives it its own id.
     """
 
     KEPT = 600_000
@@ -94,7 +95,7 @@ class FastTokens:
         from tokenizers import Tokenizer
 
         self.all = Tokenizer.from_file(path)
-        self.all.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.all.get_added_tokens_decoder().values()]
         self.type = np.uint16 if self.all.get_vocab_size() <= 1 << 16 else np.uint32
         form = json.loads(self.all.to_str())
         pre = form["pre_tokenizer"] or {}
@@ -123,16 +124,22 @@ class FastTokens:
         return self.piece(text) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each text has.
-
-        Parts are told apart by a hash, their lengths and first bytes; each different one is looked up once.
+        """The ids of all texts in a row, and how many each text has."""
+        data = b"".join(texts)
+        if self.plain and not any(x in data for x in self.added):
+            return self.encode_plain(texts, data)
+        whole = [not self.plain or any(a in x for a in self.added) for x in texts]
+        ids, n = self.encode_plain(rest := [x for x, w in zip(texts, whole, strict=True) if not w], b"".join(rest))
+        own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+        got = [np.array(self.all.encode(x.decode(), add_special_tokens=False).ids, self.type) if w else next(own) for x, w in zip(texts, whole, strict=True)]
+        return np.concatenate([np.zeros(0, self.type), *got]), np.fromiter(map(len, got), np.int64, len(got))
+
+    def encode_plain(self, texts: list[bytes], data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts without added tokens; `data` is all of them.
+
+        Parts are grouped by a hash and compared with the first of their group byte by byte; each different one is looked up once.
         """
         counts = np.zeros(len(texts), np.int64)
-        if not self.plain:
-            got = [self.all.encode(x.decode(), add_special_tokens=False).ids for x in texts]
-            counts[:] = [len(x) for x in got]
-            return np.array([i for x in got for i in x], self.type), counts
-        data = b"".join(texts)
         if not data:
             return np.zeros(0, self.type), counts
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -154,12 +161,16 @@ class FastTokens:
         n = int(which.max()) + 1
         one = np.zeros(n, np.int64)
         one[which[::-1]] = np.arange(len(which))[::-1]  # the first of each
-        padded = np.frombuffer(data + b"\0" * 8, np.uint8)
-        head = sum(padded[start + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8))
-        like = one[which]
-        if (size != size[like]).any() or (head != head[like])[size >= 8].any():  # two parts with one hash
-            which = np.arange(len(start))
-            one = which
+        other = np.flatnonzero(size != size[one[which]])
+        place = np.arange(len(b), dtype=np.int64) + np.repeat(start[one[which]] - start, size)
+        differs = b[np.minimum(place, len(b) - 1)] != b
+        if differs.any():
+            other = np.union1d(other, np.searchsorted(start, np.flatnonzero(differs), "right") - 1)
+        if len(other):  # parts with the hash of another
+            own: dict[bytes, int] = {}
+            which[other] = [n + own.setdefault(data[start[i] : start[i] + size[i]], len(own)) for i in other.tolist()]
+            one = np.zeros(n + len(own), np.int64)
+            one[which[::-1]] = np.arange(len(which))[::-1]
         got = [self.parts[data[i : i + k]] for i, k in zip(start[one].tolist(), size[one].tolist(), strict=True)]
         width = np.dtype(self.type).itemsize
         have = np.fromiter(map(len, got), np.int64, len(got)) // width
