@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+from collections import Counter
+from html import unescape
 
 import pytest
 
@@ -40,6 +43,62 @@ def test_extract_without_article():
     assert H.extract(f"<body><div class='cookie-notice'>ok?</div>{body}</body>").split("\n") == ["Title", ("long text " * 40).strip(), "short"]
 
 
+ARTICLE = "<article><h1>T</h1><p>" + "long text " * 20 + "</p>{}</article>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>Let <math>x</math> be set.</p>", "Let x be set."),
+        ("<p>He pressed <button>OK</button> then <label>Name</label>.</p>", "He pressed OK then Name."),
+        ('<section class="notice-of-motion"><p>Motion</p></section>', "Motion"),
+        ('<div class="tags-explained">Tags</div><h2 class="related">Related work</h2>', "Tags\nRelated work"),
+        ('<div class="widget share-buttons">Share</div><p>a <span class="ad">b</span> c</p>', "a c"),
+        ("<footer>f</footer><form>g</form><aside>h</aside><p>end</p>", "end"),
+        ('<header><h2>Head</h2></header><div class="ad-box">x</div>', "Head"),
+    ],
+)
+def test_article_text_stays_whole(inner, text):
+    assert H.extract(f"<body>{ARTICLE.format(inner)}</body>") == "T\n" + ("long text " * 20).strip() + "\n" + text
+
+
+def test_all_articles_that_hold_content():
+    one = ARTICLE.format("")
+    assert H.extract(f"<div>x</div>{one}<nav>n</nav>{one}").split("\n") == ["T", ("long text " * 20).strip()] * 2
+
+
+def test_marked_wrapper_of_an_article_is_none():
+    assert H.extract(f'<div class="main-content widget">{ARTICLE.format("")}</div>').startswith("T\nlong")
+
+
+def bare(html):
+    """A page without any element or name that says what it holds."""
+    html = re.sub(r"<(/?)(article|nav|footer|header|main|aside|section)\b", r"<\1div", html)
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", html)
+
+
+def test_ratios_decide_where_nothing_is_marked(spark):
+    """Labelled pages: the article's text, from a page stripped of all marks."""
+    both = kept = wanted = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        truth = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<(?!/?(p|h1)\b)[^>]*>", lambda m: " " if m[0] == "<br>" else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", truth)]
+        blocks = [x for x in blocks if x]
+        assert H.extract(r.html) == "\n".join(blocks)
+        a, b = Counter(blocks), Counter(H.extract(bare(r.html)).split("\n"))
+        both += sum(len(x) * n for x, n in (a & b).items())
+        kept += sum(len(x) * n for x, n in b.items())
+        wanted += sum(len(x) * n for x, n in a.items())
+    assert both >= 0.98 * kept and both >= 0.995 * wanted
+
+
+def test_deep_and_long_pages():
+    for page in ("<div><p>word and some more text</p>" * 40_000, "<div><b><i>word</p></i>" * 40_000, "<nav>" + "<b>" * 600 + "x</nav><p>" + "word " * 400_000):
+        began = time.process_time()
+        assert "word" in H.extract(page)
+        assert time.process_time() - began < 20
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.n_chars, r.page_id) for r in H.extract_pages(df).collect() if r.page_id)
