@@ -16,8 +16,9 @@ Positions are code points, the end is exclusive. They come from running sums of
 matches and of the text between them, over rows, so the work is linear in the matches.
 
 A null text is empty and has no spans. A null id is a value like any other, repeated rows give
-repeated results (parts are linked by id and text), other columns are not read, and an
-empty table gives an empty result.
+repeated results (parts are linked by id and text), parts that start together are in order of KINDS, other columns are not read, and an
+empty table gives an empty result. Very long texts are one cell of a row; each pattern passes them in
+linear time, and their parts are dealt by cells.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ REACH, CELL = 400, 512
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Weak kinds.
+#: Weak kinds. Those that begin with a long run of characters begin only where the run does, so the work stays linear.
 OPAQUE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 LOGIN = r"""(?i)(?<![A-Za-z0-9])(user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
-ENDPOINT = r"""(?i)(?:(?:https?|s3|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com))"""
+ENDPOINT = r"""(?i)(?:(?:https?|s3|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|(?<![a-z0-9.-])[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com))"""
 KINDS = ["assign", "access", "hex", "short", "opaque", "login", "endpoint"]
 BASE = KINDS[:3]
 

@@ -216,3 +216,36 @@ def test_secrets(spark):
     assert by[4] == ["access", "opaque", "endpoint"]  # those far away have no complement
     assert by[0].count("short") == 0 and by[7] == []
     assert Z.op7(spark, df.where("false")).count() == 0
+
+
+def all_spans(x):
+    """Parts and links by the rules, one pair after another."""
+    find = lambda p: re.finditer(p.replace("(?i)", "(?ia)"), x)
+    parts = [("assign" if len(m[2]) >= 8 else "short", m) for m in find(Z.ASSIGN) if len(m[2]) >= 4]
+    parts += [(k, m) for k, p in (("access", Z.ACCESS), ("hex", Z.HEX), ("login", Z.LOGIN), ("endpoint", Z.ENDPOINT)) for m in find(p)]
+    parts += [("opaque", m) for m in find(Z.OPAQUE) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    parts = [(k, m.start(), m.end()) for k, m in parts]
+    out = {p for p in parts if p[0] in Z.BASE}
+    for kind, a, b in parts:
+        if kind in ("access", "login"):
+            mine = [p for p in parts if p[0] not in ("access", "login") and max(0, a - Z.REACH) <= p[1] < b + Z.REACH and (p[2] <= a or p[1] >= b)]
+            secret = any(p[0] != "endpoint" for p in mine)
+            out |= {p for p in mine if p[0] in ("short", "opaque") or p[0] == "endpoint" and secret}
+            out |= {(kind, a, b)} if kind == "login" and secret else set()
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted((a, Z.KINDS.index(k), k, b) for k, a, b in out)]
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rnd = random.Random(9)
+    bits = ["AKIA" + "Q7" * 8, "user=jo", "login: anna", "token=abcd", "secret='abcdefgh12'", "aB3" * 8, "f0" * 20, "https://db.example.org/x", "-my-bucket.s3.amazonaws.com", "x.googleapis.com", "é", "word " * 30, "pw", "\n", '"', "=" * 5]
+    rows = [(i, " ".join(rnd.choices(bits, k=rnd.randint(0, 40)))) for i in range(150)]
+    got = {r.doc_id: r.spans for r in Z.op7(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ",".join(all_spans(x)) for i, x in rows}
+    assert sum("login" in x for x in got.values()) > 20 and sum("opaque" in x for x in got.values()) > 20
+
+
+def test_long_runs(spark):
+    texts = ["a" * 1_000_000, "a.b-" * 250_000, "0f" * 500_000, "token " * 200_000, "user=joe " + "A1b" * 300_000, "x.amazonaws.com" * 60_000]
+    began = time.time()
+    got = {r.doc_id: r for r in Z.op7(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60 and got[2].spans == "hex:0:1000000" and got[1].spans == "" and got[4].spans == "login:0:8,opaque:9:900009"
