@@ -12,7 +12,7 @@ def _on(name, f):
 
 QUERIES = {
     "op4_warc_revisits": _on("pages", warc_revisit.op4),
-    "op2_language_evidence": _on("documents", language_id.op2),
+    "op2_language_evidence": lambda spark, sf_dir: language_id.op2(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")),
     "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_super_kmer_dedup": _on("documents", substring_dedup.op6),
     "op5_simhash_pigeonring": _on("documents", simhash.op5),

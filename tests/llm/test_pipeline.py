@@ -57,19 +57,13 @@ def languages(docs):
     ll = [model.likelihoods((d[1] or "").encode()) for d in docs]
     p = [soft(x) for x in ll]
     total = sum(p)
-    overall, by, hosts = (total + 1) / (total.sum() + n), {}, {}
+    overall, hosts = (total + 1) / (total.sum() + n), {}
     for d, x in zip(docs, p):
-        if d[2]:
-            by[d[2]] = by.get(d[2], 0) + x
         if d[3]:
             hosts[d[3]] = hosts.get(d[3], 0) + x
-    t = sum(by.values())
     kept = []
     for d, x in zip(docs, ll):
         s = x.copy()
-        if d[2]:
-            c = by[d[2]]
-            s += np.log((c + L.STRENGTH * c.sum() / t.sum() + 1e-9) / (t + L.STRENGTH))
         s += np.log((hosts[d[3]] + L.STRENGTH * overall) / (hosts[d[3]].sum() + L.STRENGTH) if d[3] else overall)
         q = soft(s)
         if q.argmax() < n - 1 and q.max() >= L.CONFIDENCE:

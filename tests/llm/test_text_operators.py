@@ -133,7 +133,7 @@ def test_priors_decide_short_texts(spark):
 
     model.likelihoods = lambda data: L.np.array([-1.0, -5.0, -9.0] if b"a" in data else [-5.0, -1.0, -9.0] if b"b" in data else [-2.0, -2.0, -9.0])
     rows = [(i, "a", "hosta") for i in range(50)] + [(i + 50, "b", "hostb") for i in range(50)] + [(100, "c", "hosta"), (101, "c", "hostb")]
-    got = {r.id: r.language for r in L.identify(spark.createDataFrame(rows, "id long, text string, host string"), model, "id", "text", None, None, F.col("host")).collect()}
+    got = {r.id: r.language for r in L.identify(spark.createDataFrame(rows, "id long, text string, host string"), model, "id", "text", host=F.col("host")).collect()}
     assert got[100] == "aa" and got[101] == "bb"
 
 
@@ -145,6 +145,64 @@ def test_pages_language(spark):
     assert len(got) == 20 and all(r.language == r.declared for r in got)
 
 
+def test_labels_are_primary_subtags(spark):
+    rows = [(i, "the thing", x) for i, x in enumerate(["en", "EN-us", " en_GB ", "de", "", None, "12", "english", "x-y"])]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert L.fit(df, "id", "text", "lang").languages == ["de", "en"]
+    assert L.fit(df.where("false"), "id", "text", "lang").languages == []
+    many = spark.range(600).selectExpr("id", "'x' AS text", "concat(chr(97 + cast(id / 26 AS int) % 26), chr(97 + id % 26), 'a') AS lang")
+    with pytest.raises(ValueError, match="512"):
+        L.fit(many, "id", "text", "lang")
+
+
+def fused(model, rows):
+    """language and confidence of (text, declared, suffix, host) rows, by the rules."""
+    np, n = L.np, len(model.languages) + 1
+    soft = lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    ll = [model.likelihoods((r[0] or "").encode()) for r in rows]
+    p = [soft(x) for x in ll]
+    overall = (sum(p) + 1) / (sum(p).sum() + n)
+
+    def evidence(i):
+        by = {}
+        for r, x in zip(rows, p):
+            if r[i]:
+                by[r[i]] = by.get(r[i], 0) + x
+        t = sum(by.values())
+        return {k: np.log((c + L.STRENGTH * c.sum() / t.sum() + 1e-9) / (t + L.STRENGTH)) for k, c in by.items()}
+
+    def above(host):
+        labels = host.split(".")
+        return [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))] if len(labels) > 2 else [host]
+
+    sums = {}
+    for r, x in zip(rows, p):
+        for d in above(r[3]) if r[3] else []:
+            sums[d] = sums.get(d, 0) + x
+    declared, suffix, out = evidence(1), evidence(2), []
+    for r, x in zip(rows, ll):
+        prior = overall
+        for d in reversed(above(r[3])) if r[3] else []:
+            prior = (sums[d] + L.STRENGTH * prior) / (sums[d].sum() + L.STRENGTH)
+        q = soft(x + (declared[r[1]] if r[1] else 0) + (suffix[r[2]] if r[2] else 0) + np.log(prior))
+        out.append(([*model.languages, "und"][int(q.argmax())], q.max()))
+    return out
+
+
+def test_fusion_is_that_of_plain_sums(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    train = [(i, x, lang) for lang in ("aa", "bb") for i, x in enumerate(lines(lang, 30, 1))]
+    model = L.fit(spark.createDataFrame(train, "id long, text string, lang string"), "id", "text", "lang")
+    pool = lines("aa", 40, 2) + lines("bb", 40, 3) + ["a", "zz", "7 8", "", None]
+    rows = [(rnd.choice(pool), rnd.choice(["aa", "bb", None]), rnd.choice(["org", "com", None]), rnd.choice(["a.x.example.org", "x.example.org", "example.org", "b.example.com", "m.b.example.com", "localhost", None])) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, declared string, suffix string, host string").withColumn("of_host", F.lit("x")).repartition(3)
+    got = {r.id: r for r in L.identify(df, model, "id", "text", F.col("declared"), F.col("suffix"), F.col("host")).collect()}
+    for i, (language, confidence) in enumerate(fused(model, rows)):
+        assert abs(got[i].confidence - confidence) < 1e-9 and (got[i].language == language or abs(confidence - 0.5) < 1e-9)
+
+
 def test_canonical(spark):
     urls = ["HTTP://User@WWW.Ex.org:80/a/?utm_source=1&b=2&a=1#x", "https://ex.org/a?a=1&b=2", "ex.org/a", None, ""]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(W.canonical(W.F.col("url"))).collect()]
