@@ -1,13 +1,15 @@
 """Telephony audio: G.711 and IMA ADPCM sources to resampled PCM.
 
-`encode_payload` stores bytes as the 8-bit samples of a G.711 WAV file,
-`decode_audio` reads such files (mu-law, A-law or IMA ADPCM) from a binary
-column and stores linear PCM at the asked rate, and `payload_features` reads the
-8-bit samples back and describes them.
+`encode_payload` stores bytes as WAV files of mu-law, A-law or IMA ADPCM, whose 8-bit units hold any byte, so nothing is lost. `decode_audio`
+reads such files from a binary column, expands mu-law and A-law by lookup tables, decodes the ADPCM blocks of a whole
+slice of rows together, one numpy step a nibble, and stores linear PCM at the asked rate. `pcm_features` describes stored PCM.
+
+The form of a payload follows from its checksum, so equal texts are stored alike and each form holds about a third of them.
 
 Null or empty media give empty PCM and rate 0; bytes that are no WAV file of a
-known format give a null PCM cell and the reason in `error`. Rows are independent, so
-ties, repeated rows and extra columns need no rule.
+known format give a null PCM cell and the reason in `error`, and a null feature. A null text is empty. Rows are independent, so
+ties, repeated rows and extra columns (which are not read) need no rule; an empty table gives an empty result. A text is one cell: its
+file is a little longer, its PCM up to four times as long, so texts have to stay below half a gigabyte.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import map_arrow, text_of, written
 
 # WAV format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
+#: Forms of a payload, its unit in bytes (an ADPCM block), the rate it is stored at (wideband), and the rate of PCM.
+FORMS, UNIT, STORED_RATE, RATE = (MULAW, ALAW, IMA_ADPCM), 64, 16000, 8000
 # The step table of IMA ADPCM and its index changes.
 IMA_STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -77,7 +81,7 @@ def ima_blocks(data: bytes, align: int) -> np.ndarray:
 def wav(data: bytes, tag: int, rate: int, bits: int, align: int = 0) -> bytes:
     """A mono WAV file."""
     align = align or bits // 8
-    per = (align - 4) * 2 + 1 if tag == IMA_ADPCM else 1
+    per = (align - 4) * 2 + 1 if tag == IMA_ADPCM else 1  # samples of a block
     fmt = struct.pack("<HHIIHH", tag, 1, rate, rate * align // per, align, bits)
     if tag == IMA_ADPCM:
         fmt += struct.pack("<HH", 2, per)
@@ -136,12 +140,24 @@ def doubled(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def halved(x: np.ndarray) -> np.ndarray:
+    """Half the rate: a half-band filter with the weights of doubled(), in integers, so results are exact."""
+    if not len(x):
+        return x.astype(np.int16)
+    p = np.pad(x.astype(np.int32), 3, "edge")
+    n = len(x)
+    y = (16 * p[3 : n + 3] + 9 * (p[2 : n + 2] + p[4 : n + 4]) - p[:n] - p[6 : n + 6] + 16) >> 5
+    return np.clip(y[::2], -32768, 32767).astype(np.int16)
+
+
 def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """PCM at rate `to`: doublings first, then linear interpolation in integers for what is left."""
+    """PCM at rate `to`: doublings or halvings first, then linear interpolation in integers for what is left."""
     if rate <= 0 or to <= 0:
         raise ValueError("rates must be positive")
     while rate * 2 <= to:
         x, rate = doubled(x), rate * 2
+    while rate >= to * 2 and rate % 2 == 0:
+        x, rate = halved(x), rate // 2
     if rate == to or not len(x):
         return x.astype(np.int16)
     at = np.arange(len(x) * to // rate, dtype=np.int64) * rate
@@ -150,44 +166,82 @@ def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((a * (to - part) + b * part) // to).astype(np.int16)
 
 
-def encode_payload(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 8000) -> DataFrame:
-    """Each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as A-law samples of a WAV file.
+def payload(text: bytes) -> bytes:
+    """A text's bytes, padded with 0 to a positive multiple of UNIT."""
+    return text + b"\0" * (-len(text) % UNIT if text else UNIT)
 
-    Returns the id, n_bytes (without padding) and media (binary). A null text is empty: 64 zero bytes.
-    """
+
+def stored(data: bytes, rate: int) -> bytes:
+    """The WAV file of a payload, in the form that its checksum picks."""
+    tag = FORMS[zlib.crc32(data) % len(FORMS)]
+    return wav(data, tag, rate, 4, UNIT) if tag == IMA_ADPCM else wav(data, tag, rate, 8)
+
+
+def encode_payload(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = STORED_RATE) -> DataFrame:
+    """Each text's UTF-8 bytes as samples of a WAV file: the id, n_bytes (without padding) and media (binary)."""
 
     def one(b):
-        n, media = [], []
-        for x in b.column("text").cast(pa.binary()).to_pylist():
-            n.append(len(x))
-            media.append(wav(x + b"\0" * (-len(x) % 64 if x else 64), ALAW, rate, 8))
-        return {"id": b.column("id"), "n_bytes": n, "media": media}
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        return {"id": b.column("id"), "n_bytes": [len(x) for x in texts], "media": [stored(payload(x), rate) for x in texts]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), one, f"id {kind}, n_bytes long, media binary", "text").withColumnRenamed("id", id_col)
+    return map_arrow(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), one, f"id {kind}, n_bytes long, media binary", "text", 1 << 20).withColumnRenamed("id", id_col)
+
+
+def read_all(files: list[bytes | None]) -> list[tuple]:
+    """(tag, rate, samples, stored bytes) or the error of each file; the ADPCM blocks of all files of one block size are decoded together."""
+    out: list[tuple] = []
+    blocks: dict[int, list[int]] = {}
+    for i, x in enumerate(files):
+        try:
+            tag, rate, align, data = unwav(x) if x else (None, 0, 0, b"")
+            if tag == IMA_ADPCM and align >= 4:
+                blocks.setdefault(align, []).append(i)
+                out.append((tag, rate, None, data))
+            else:
+                out.append((tag, rate, linear(tag, align, data) if x else np.zeros(0, np.int16), data))
+        except ValueError as e:
+            out.append((None, 0, str(e), b""))
+    for align, rows in blocks.items():
+        whole = [bytes(out[i][3][: len(out[i][3]) // align * align]) for i in rows]
+        per = (align - 4) * 2 + 1
+        ends = np.cumsum([len(x) // align * per for x in whole])
+        for i, x in zip(rows, np.split(ima_blocks(b"".join(whole), align), ends[:-1]), strict=True):
+            out[i] = (*out[i][:2], x, out[i][3])
+    return out
+
 
+def decode_audio(df: DataFrame, id_col: str, media_col: str, rate: int = RATE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Stored telephony audio as 16-bit PCM WAV files at `rate`.
 
-def decode_audio(df: DataFrame, id_col: str, media_col: str, rate: int = 16000) -> DataFrame:
-    """Stored telephony audio as 16-bit PCM WAV files at `rate`: id, source_format, source_rate, n_samples, pcm, error."""
+    Returns the id, the columns of `keep`, source_format, source_rate, n_samples, pcm and error; and of the stored form payload_bytes, payload_sha256,
+    tail_crc32 (of the last UNIT bytes), media_bytes and media_sha256.
+    """
+    names = ("source_format", "source_rate", "n_samples", "pcm", "error", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
 
     def one(b):
-        out = {k: [] for k in ("fmt", "src", "n", "pcm", "error")}
-        for x in b.column("media").to_pylist():
+        out = {k: [] for k in names}
+        files = b.column("media").to_pylist()
+        for x, (tag, src, samples, data) in zip(files, read_all(files), strict=True):
             row = (None, 0, 0, b"", None)
-            if x:
+            if isinstance(samples, str):
+                row = (None, 0, 0, None, samples)
+            elif x:
                 try:
-                    tag, src, align, data = unwav(x)
-                    y = resampled(linear(tag, align, data), src, rate)
+                    y = resampled(samples, src, rate)
                     row = (tag, src, len(y), wav(y.astype("<i2").tobytes(), PCM, rate, 16), None)
                 except ValueError as e:
                     row = (None, 0, 0, None, str(e))
-            for k, v in zip(out, row, strict=True):
+            raw = x or b""
+            row += (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest())
+            for k, v in zip(names, row, strict=True):
                 out[k].append(v)
-        return {"id": b.column("id")} | out
+        return {"id_": b.column("id_")} | {f"keep_{i}": b.column(f"keep_{i}") for i in range(len(keep))} | out
 
-    kind = df.schema[id_col].dataType.simpleString()
-    got = map_arrow(df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")), one, f"id {kind}, fmt int, src int, n long, pcm binary, error string", "media", 1 << 20)
-    return got.toDF(id_col, "source_format", "source_rate", "n_samples", "pcm", "error")
+    kinds = "".join(f", keep_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    rows = df.select(F.col(id_col).alias("id_"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(media_col).alias("media"))
+    form = f"id_ {df.schema[id_col].dataType.simpleString()}{kinds}, source_format int, source_rate int, n_samples long, pcm binary, error string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    return map_arrow(rows, one, form, "media", 1 << 20).toDF(id_col, *keep, *names)
 
 
 def features(x: np.ndarray, rate: int) -> str:
@@ -197,22 +251,30 @@ def features(x: np.ndarray, rate: int) -> str:
     return f"rate={rate};n={len(x)};peak={int(np.abs(y).max(initial=0))};power={int((y * y).sum()) // max(1, len(x))};crossings={int((neg[1:] != neg[:-1]).sum())};crc32={zlib.crc32(x.astype('<i2').tobytes())}"
 
 
-def payload_features(df: DataFrame, id_col: str = "doc_id", rate: int = 16000) -> DataFrame:
-    """What the stored samples of encode_payload() say when they are read back."""
+def feature_of(file: bytes | None) -> str | None:
+    """The features of a PCM WAV file; null for a null cell."""
+    if file is None:
+        return None
+    if not file:
+        return features(np.zeros(0, np.int16), 0)
+    tag, rate, align, data = unwav(file)
+    return features(linear(tag, align, data), rate)
+
+
+def pcm_features(df: DataFrame, keep: tuple[str, ...], pcm_col: str = "pcm") -> DataFrame:
+    """The columns of `keep` and `feature`, what the stored PCM of decode_audio() says."""
+    names = [f"keep_{i}" for i in range(len(keep))]
 
     def one(b):
-        out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for x in b.column("media").to_pylist():
-            tag, src, align, data = unwav(x)
-            row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(x), hashlib.sha256(x).hexdigest(), features(resampled(linear(tag, align, data), src, rate), rate))
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
-        return {"id": b.column("id"), "n_bytes": b.column("n_bytes")} | out
+        return {c: b.column(c) for c in names} | {"feature": [feature_of(x) for x in b.column("pcm").to_pylist()]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.withColumnRenamed(id_col, "id"), one, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media").withColumnRenamed("id", id_col)
+    kinds = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(pcm_col).alias("pcm"))
+    return map_arrow(rows, one, f"{kinds}feature string", "pcm", 1 << 20).toDF(*keep, "feature")
 
 
 def op8(spark, docs: DataFrame) -> DataFrame:
-    """Texts stored as A-law WAV files in the shared folder, read back and described."""
-    return payload_features(written(encode_payload(docs), "media", blobs=True))
+    """Texts stored as WAV files in the shared folder, read back, decoded to stored PCM, and that read back and described."""
+    files = written(encode_payload(docs), "media", blobs=True)
+    pcm = written(decode_audio(files, "doc_id", "media", keep=("n_bytes",)), "pcm", blobs=True)
+    return pcm_features(pcm, ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "source_format", "n_samples"))

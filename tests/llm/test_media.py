@@ -14,19 +14,20 @@ def test_tables():
     assert len(set(a.tolist())) == 256 and a[0xD5] == 8 and a[0x55] == -8 and a.max() == 32256
 
 
-def test_adpcm_blocks_one_by_one():
-    def plain(block):
-        v, i = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
-        out = [v]
-        for byte in block[4:]:
-            for c in (byte & 15, byte >> 4):
-                s = int(M.IMA_STEPS[i])
-                d = (s >> 3) + (s >> 2 if c & 1 else 0) + (s >> 1 if c & 2 else 0) + (s if c & 4 else 0)
-                v = max(-32768, min(32767, v - d if c & 8 else v + d))
-                i = max(0, min(88, i + int(M.IMA_MOVES[c])))
-                out.append(v)
-        return out
+def plain(block):
+    v, i = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [v]
+    for byte in block[4:]:
+        for c in (byte & 15, byte >> 4):
+            s = int(M.IMA_STEPS[i])
+            d = (s >> 3) + (s >> 2 if c & 1 else 0) + (s >> 1 if c & 2 else 0) + (s if c & 4 else 0)
+            v = max(-32768, min(32767, v - d if c & 8 else v + d))
+            i = max(0, min(88, i + int(M.IMA_MOVES[c])))
+            out.append(v)
+    return out
+
 
+def test_adpcm_blocks_one_by_one():
     data = np.random.default_rng(1).integers(0, 256, 36 * 5, np.uint8).tobytes()
     assert M.ima_blocks(data, 36).tolist() == [v for k in range(5) for v in plain(data[36 * k : 36 * k + 36])]
     assert len(M.ima_blocks(b"", 36)) == 0
@@ -40,20 +41,56 @@ def test_resampling():
     assert (M.resampled(x, 8000, 8000) == x).all()
 
 
+def test_halving():
+    x = np.array([0, 100, 200, -32768, 32767, 5, 7], np.int16)
+    at = lambda i: int(x[min(max(i, 0), len(x) - 1)])
+    want = [max(-32768, min(32767, (16 * at(i) + 9 * (at(i - 1) + at(i + 1)) - at(i - 3) - at(i + 3) + 16) >> 5)) for i in range(0, len(x), 2)]
+    assert M.resampled(x, 16000, 8000).tolist() == want and len(M.resampled(x[:0], 16000, 8000)) == 0
+
+
+def samples(p, tag):
+    """Linear samples of a payload, one after another."""
+    if tag == M.IMA_ADPCM:
+        return [v for i in range(0, len(p), M.UNIT) for v in plain(p[i : i + M.UNIT])]
+    out = []
+    for c in p:
+        if tag == M.MULAW:
+            c ^= 0xFF
+            v = (((c & 15) << 3) + 132 << (c >> 4 & 7)) - 132
+            out.append(-v if c & 128 else v)
+        else:
+            c ^= 0x55
+            e, v = c >> 4 & 7, (c & 15) << 4
+            v = v + 8 if e == 0 else (v + 264) << (e - 1)
+            out.append(v if c & 128 else -v)
+    return out
+
+
 def test_payload_and_decoding(spark):
-    rows = [(1, "häß"), (2, None), (3, ""), (4, "a" * 200), (None, "häß"), (1, "häß")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS media", "0L AS n_bytes")
-    stored = M.encode_payload(df)
-    got = M.payload_features(stored).collect()
-    assert len(got) == 6
+    texts = {1: "häß", 2: None, 3: "", 4: "a" * 200, None: "häß"} | {i: "word " * i for i in range(10, 40)} | {50: "long text " * 300_000}
+    rows = [*texts.items(), (1, "häß")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS media", "0L AS n_bytes", "'k' AS keep_0", "1 AS id_")
+    got = M.op8(spark, df).collect()
+    assert len(got) == len(rows)
     for r in got:
-        x = {1: "häß", 4: "a" * 200, None: "häß"}.get(r.doc_id, "").encode()
+        x = (texts[r.doc_id] or "").encode()
         p = x + b"\0" * (-len(x) % 64 if x else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(x), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    assert len({(r.media_sha256, r.feature) for r in got}) == 3
-    pcm = M.decode_audio(stored, "doc_id", "media").collect()
-    assert {r.source_format for r in pcm} == {M.ALAW} and all(M.unwav(bytes(r.pcm))[:2] == (M.PCM, 16000) for r in pcm)
-    bad = spark.createDataFrame([(1, b"RIFFxxxxWAVE"), (2, None), (3, b"junk")], "id long, media binary")
+        file = M.stored(p, 16000)
+        tag, rate, _, data = M.unwav(file)
+        assert (r.media_bytes, r.media_sha256, r.source_format, rate) == (len(file), hashlib.sha256(file).hexdigest(), tag, 16000) and bytes(data) == p
+        if len(p) < 1000:
+            y = M.halved(np.array(samples(p, tag), np.int16)).astype(int).tolist()
+            turns = sum((a < 0) != (b < 0) for a, b in zip(y, y[1:]))
+            crc = zlib.crc32(np.array(y, "<i2").tobytes())
+            assert r.feature == f"rate=8000;n={len(y)};peak={max(map(abs, y))};power={sum(v * v for v in y) // len(y)};crossings={turns};crc32={crc}" and r.n_samples == len(y)
+    assert {r.source_format for r in got} == set(M.FORMS)
+    assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (1, None)}) == 1
+    assert M.op8(spark, df.where("false")).count() == 0
+    out = M.decode_audio(M.encode_payload(df), "doc_id", "media", 16000).collect()
+    assert all(M.unwav(bytes(r.pcm))[:2] == (M.PCM, 16000) and r.error is None for r in out)
+    bad = spark.createDataFrame([(1, b"RIFFxxxxWAVE"), (2, None), (3, b"junk"), (4, M.wav(b"ab", 9, 8000, 8))], "id long, media binary")
     out = {r.id: r for r in M.decode_audio(bad, "id", "media").collect()}
-    assert out[1].error and out[3].error and out[2].error is None and out[2].n_samples == 0
+    assert out[1].error and out[3].error and out[4].error and out[2].error is None and out[2].n_samples == 0
+    assert [r.feature is None for r in M.pcm_features(M.decode_audio(bad, "id", "media").orderBy("id"), ("id",)).orderBy("id").collect()] == [True, False, True, True]
     assert M.decode_audio(bad.where("false"), "id", "media").count() == 0
