@@ -220,7 +220,21 @@ def test_word_hashes_of_pieces(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(whole[0]) == 501
 
 
-def test_contamination(spark):
+def test_items_within_the_radius_are_met():
+    rnd = np.random.default_rng(6)
+    index = D.Items(list(range(300)), [" ".join(f"w{i}x{j}" for j in range(9)).encode() for i in range(300)])
+    fp = index.fp[rnd.integers(0, 300, 200)].copy()
+    for i in range(200):
+        for bit in rnd.choice(64, rnd.integers(0, 26), replace=False):
+            fp[i] ^= np.uint64(1) << np.uint64(bit)
+    fp[:5] = fp[5]
+    want = [(w, i, d) for w in range(200) for i in range(300) if (d := int(np.bitwise_count(fp[w] ^ index.fp[i]))) <= D.RADIUS]
+    assert index.near(fp, 9) == want and max(d for _, _, d in want) == D.RADIUS
+
+
+@pytest.mark.parametrize("block", [D.ITEMS, 5])
+def test_contamination(spark, block, monkeypatch):
+    monkeypatch.setattr(D, "ITEMS", block)
     rnd = random.Random(9)
     items = [(i, " ".join(words(rnd.randint(12, 40), rnd))) for i in range(20)] + [(20, "tiny"), (21, None), (22, "Uvw xyz")]
     docs = []
@@ -233,7 +247,7 @@ def test_contamination(spark):
             at = rnd.randint(0, len(w))
             w[at:at] = [x.upper() if i % 3 else x for x in item]
         docs.append((i, " ".join(w)))
-    docs += [(80, None), (81, "so uvw\nXYZ it is"), (0, docs[0][1]), (None, items[3][1])]
+    docs += [(80, None), (81, "so uvw\nXYZ it is"), (0, docs[0][1]), (None, items[3][1]), (82, "and so on " * 1500 + items[4][1])]
     got = {(r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in D.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for i, x in docs:
@@ -261,7 +275,7 @@ def test_contamination_of_documents_shorter_than_an_item():
     want = set()
     for i, x in enumerate(docs):
         w = x.encode().lower().split()
-        for item, v in enumerate(index.words):
+        for item, v in enumerate(x.split() for x in index.texts):
             if len(w) < len(v) and (sim := D.weighted(w, v, min(5, len(v)))) >= 0.8:
                 want.add((i, item, len(w), round(sim, 9)))
     assert got == want and len(want) > 20
