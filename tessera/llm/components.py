@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Rounds work on the edges alone: a grouped minimum (combined before the shuffle) and a join that
-Spark can split where one node has many edges. Each round's edges are written to the
+Rounds work on the edges alone: a grouped minimum (combined before the shuffle), written, so that the join with it
+meets the edges as they are and Spark can split those of a node that has many. Each round's edges are written to the
 shared folder, so a lost executor costs one round at most.
 """
 
@@ -17,11 +17,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large or small star; edges have a > b."""
     around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("of"), "m")
+    least = written(least, "least")
     got = around.join(least, F.col("a") == F.col("of"))
     if large:
-        return got.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    tails = got.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tails.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
+        new = got.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        tails = got.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = tails.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
+    new = written(new.where("a != b").distinct(), "edges")
+    discard(least)
+    return new
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,7 +37,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     now, mark = written(now, "edges"), None
     while True:
-        new = written(_star(_star(now, True), False), "edges")
+        wide = _star(now, True)
+        new = _star(wide, False)
+        discard(wide)
         got = new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         discard(now)
         now = new

@@ -100,7 +100,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {"id": b.column("id"), "text_hash": b.column("text_hash")} | {f"w{w}": pa.array(majority(remixed(flat, w), counts).view(np.int64)) for w in range(words)}
 
     kind = df.schema[id_col].dataType.simpleString()
-    got = map_arrow(df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text")), one, f"id {kind}, text_hash long, " + ", ".join(f"w{w} long" for w in range(words)), "text", 2 << 20)
+    got = map_arrow(df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("text")), one, f"id {kind}, text_hash long, " + ", ".join(f"w{w} long" for w in range(words)), "text", 1 << 20)
     return got.withColumnRenamed("id", id_col)
 
 
