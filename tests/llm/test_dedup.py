@@ -100,6 +100,16 @@ def alike(x, y, k=5):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_odd_sketches_bound_the_difference():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 30, 500, 5000):
+        x = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+        y = np.union1d(x[rnd.random(len(x)) < 0.9], rnd.integers(0, 2**63, n // 12).astype(np.uint64))
+        d = int(N.distance(N.odd_sketch(x)[None].view(np.uint64), N.odd_sketch(y)[None].view(np.uint64))[0])
+        real = len(np.setxor1d(x, y))
+        assert d <= real and (d - real) % 2 == 0 and (n != 500 or d >= 0.8 * real)
+
+
 @pytest.mark.parametrize("most", [S.MOST, 30])
 def test_near_duplicates_of_five_words(spark, most):
     """Groups are those of all exact similarities: of pairs around 0.8 on either side, and of a group beyond a bucket's size."""
