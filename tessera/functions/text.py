@@ -51,6 +51,13 @@ def log10(p: Column) -> Column:
     return F.when(p > 0, F.log10(p)).otherwise(F.lit(float("-inf")))
 
 
+def binomial(n: Column, k: Column) -> Column:
+    """How many sets of k there are of n; exact while it fits a long."""
+    j = F.least(k, n - k)
+    steps = F.when(j > 0, F.sequence(F.lit(1).cast("long"), F.greatest(j, F.lit(1)).cast("long")))
+    return F.when((k < 0) | (k > n), F.lit(0).cast("long")).otherwise(F.coalesce(F.aggregate(steps, F.lit(1).cast("long"), lambda a, i: ((a * (n - j + i)) / i).cast("long")), F.lit(1).cast("long")))
+
+
 def at(values: Column, i: Column) -> Column:
     """The i-th value, from 0."""
     return F.get(values, i.cast("int"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def bag_counts(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, word, n."""
@@ -40,27 +40,32 @@ def distances(bags: DataFrame, key: str) -> DataFrame:
     return got.select("a", "b", (1 - 2 * F.col("least") / s).alias("bray_curtis"), (s + F.col("near")).cast("double").alias("manhattan"), F.sqrt((F.col("qa") + F.col("qb") + F.col("near2")).cast("double")).alias("euclidean"))
 
 
+def minkowski(bags: DataFrame, key: str, p: int) -> DataFrame:
+    """a, b, minkowski: the p-th root of the sum of p-th powers of differences, of bags that share a word."""
+    size = bags.groupBy(key).agg(F.sum(F.pow("n", F.lit(p))).alias("s"))
+    x = bags.select(F.col(key).alias("a"), F.col("word").alias("w"), F.col("n").alias("x"))
+    y = bags.select(F.col(key).alias("b"), F.col("word").alias("v"), F.col("n").alias("y"))
+    met = x.join(y, (F.col("w") == F.col("v")) & (F.col("a") < F.col("b")))
+    both = met.groupBy("a", "b").agg(F.sum(F.pow(F.abs(F.col("x") - F.col("y")), F.lit(p)) - F.pow("x", F.lit(p)) - F.pow("y", F.lit(p))).alias("near"))
+    got = both.join(size.select(F.col(key).alias("ka"), F.col("s").alias("sa")), F.col("a") == F.col("ka")).join(size.select(F.col(key).alias("kb"), F.col("s").alias("sb")), F.col("b") == F.col("kb"))
+    return got.select("a", "b", F.pow(F.col("sa") + F.col("sb") + F.col("near"), F.lit(1.0 / p)).alias("minkowski"))
+
+
+def merged_space(a, b):
+    """The words of two spaces, each once and sorted."""
+    return F.array_sort(F.array_union(a, b))
+
+
 def clusters(bags: DataFrame, key: str, threshold: float) -> DataFrame:
     """key, cluster: single-link clusters under Bray-Curtis distance; cluster is the smallest key."""
     close = distances(bags, key).where(F.col("bray_curtis") <= threshold)
-    edges = _kept(close.select("a", "b").union(close.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _kept(bags.select(F.col(key).alias("node")).distinct().withColumn("cluster", F.col("node")))
+    edges = written(close.select("a", "b").union(close.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = written(bags.select(F.col(key).alias("node")).distinct().withColumn("cluster", F.col("node")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("least"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", F.coalesce("least", "cluster")).alias("c"))
         jump = step.select(F.col("node").alias("at"), F.col("c").alias("next"))
-        new = _kept(step.join(jump, F.col("c") == F.col("at")).select("node", F.col("next").alias("cluster")))
+        new = written(step.join(jump, F.col("c") == F.col("at")).select("node", F.col("next").alias("cluster")), "labels")
         if new.join(labels.withColumnRenamed("cluster", "old"), "node").where("cluster <> old").isEmpty():
             return new.select(F.col("node").alias(key), "cluster")
         labels = new
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A table written to the shared checkpoint folder where there is one."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        return df.cache()
-    path = f"{at}/bags-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,6 @@ Models: `bigram` and `trigram` transitions.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 FORM = "doc_id long, sent_id long, words array<int>, states array<int>"
 
 
@@ -42,9 +43,28 @@ class Model:
         return (self.trans + self.gamma) / (self.trans.sum(-1, keepdims=True) + (self.states + 1) * self.gamma)
 
 
-def word_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, sent_id, words of a token table; words outside the vocabulary (word_id, word) are dropped."""
-    rows = tokens.join(vocab.select(F.col("word").alias("of"), "word_id"), F.col("word") == F.col("of"))
+def save(model: Model, spark, path: str) -> None:
+    """A model as tables: its settings (one row) and its counts that are not zero."""
+    cells = pd.concat([pd.DataFrame({"kind": k, "cell": (i := np.flatnonzero(x)), "n": x.ravel()[i]}) for k, x in (("word", model.word.ravel()), ("trans", model.trans.ravel()))])
+    spark.createDataFrame(cells, "kind string, cell long, n long").write.mode("overwrite").parquet(f"{path}/counts")
+    row = (model.kind, model.states, model.word.shape[1], model.gamma, model.delta)
+    spark.createDataFrame([row], "kind string, states int, words long, gamma double, delta double").write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load(spark, path: str) -> Model:
+    """A saved model."""
+    s = spark.read.parquet(f"{path}/settings").first()
+    out = Model(s["kind"], s["states"], s["gamma"], s["delta"], np.zeros((s["states"], s["words"]), np.int64), np.zeros((s["states"] + 1,) * (3 if s["kind"] == "trigram" else 2), np.int64))
+    for r in spark.read.parquet(f"{path}/counts").toLocalIterator():
+        (out.word if r["kind"] == "word" else out.trans).reshape(-1)[r["cell"]] = r["n"]
+    return out
+
+
+def word_ids(tokens: DataFrame, vocab: DataFrame, unknown: str = "UNK") -> DataFrame:
+    """doc_id, sent_id, words of a token table; words outside the vocabulary (word_id, word) get the id of `unknown`, or -1 if it has none."""
+    rows = tokens.join(vocab.select(F.col("word").alias("of"), "word_id"), F.col("word") == F.col("of"), "left")
+    unk = vocab.where(F.col("word") == unknown).agg(F.coalesce(F.max("word_id"), F.lit(-1)).alias("unk"))
+    rows = rows.crossJoin(F.broadcast(unk)).withColumn("word_id", F.coalesce("word_id", "unk"))  # one row
     return rows.groupBy("doc_id", "sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word_id"))), lambda x: x["word_id"].cast("int")).alias("words"))
 
 
@@ -118,16 +138,19 @@ def sweep_over(sents: DataFrame, model: Model, seed: int, number: int, best: boo
     return sents.mapInPandas(run, FORM)
 
 
-def train(sents: DataFrame, words: int, states: int = 30, kind: str = "bigram", sweeps: int = 100, gamma: float = 0.1, delta: float = 0.01, seed: int = 1, annealing: list[float] | None = None) -> tuple[Model, DataFrame]:
-    """A model of sentences of word ids (below `words`), and the last states of each. annealing: temperatures, each for `sweeps` sweeps."""
+def train(sents: DataFrame, words: int, states: int = 30, kind: str = "bigram", sweeps: int = 100, gamma: float = 0.1, delta: float = 0.01, seed: int = 1, annealing: list[float] | None = None, start: DataFrame | None = None, done: int = 0) -> tuple[Model, DataFrame]:
+    """A model of sentences of word ids (below `words`), and the last states of each. annealing: temperatures, each for `sweeps` sweeps.
+
+    `start` (doc_id, sent_id, states) goes on from earlier states after `done` sweeps, with the draws that one run would have made.
+    """
     trigram = kind == "trigram"
-    now = _kept(initial(sents, states, seed))
-    number = 0
+    now = written(initial(sents, states, seed) if start is None else sents.join(start.select("doc_id", "sent_id", "states"), ["doc_id", "sent_id"]).select("doc_id", "sent_id", "words", "states"), "sweep")
+    number = done
     for t in annealing or [1.0]:
         for _ in range(sweeps):
             number += 1
             m = Model(kind, states, gamma, delta, *totals(now, states, words, trigram))
-            now = _kept(sweep_over(now, m, seed, number, temperature=t))
+            now = written(sweep_over(now, m, seed, number, temperature=t), "sweep")
     return Model(kind, states, gamma, delta, *totals(now, states, words, trigram)), now
 
 
@@ -184,13 +207,3 @@ def induced_classes(states: DataFrame, max_length: int = 0) -> DataFrame:
     """Sentences of state names S0, S1, ...; longer ones than max_length go (0: none)."""
     rows = states.where(F.size("states") <= max_length) if max_length else states
     return rows.select("doc_id", "sent_id", F.transform("states", lambda s: F.concat(F.lit("S"), s.cast("string"))).alias("tokens"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        return df.cache()
-    path = f"{at}/sweep-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

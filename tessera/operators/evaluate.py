@@ -72,10 +72,39 @@ def mapping_ratio(df: DataFrame, many: str, one: str) -> DataFrame:
 
 
 def harmonic_mean(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """n over the sum of reciprocals, and n over the sum of exponentials."""
+    """n over the sum of reciprocals."""
     return df.groupBy(*by).agg((F.count("*") / F.sum(1 / F.col(value))).alias("harmonic_mean"))
 
 
+def perplexity_average(df: DataFrame, value: str, tokens: float, *by: str) -> DataFrame:
+    """n over the sum of exponentials of values a token."""
+    return df.groupBy(*by).agg((F.count("*") / F.sum(F.exp(F.col(value) / F.lit(float(tokens))))).alias("perplexity"))
+
+
+def bundle(conf: DataFrame, reduce_gold) -> DataFrame:
+    """The twelve numbers of a run, one row: accuracies (one to one, many to one) for full and reduced gold labels, then pairwise precision, recall, F and variation of information of both."""
+    spark = conf.sparkSession
+    short = conf.groupBy("model", reduce_gold(F.col("gold")).alias("gold")).agg(F.sum("n").alias("n"))
+    cells = []
+    for name, c in (("full", conf), ("reduced", short)):
+        pairs = one_to_one(c)
+        kinds = f"model {c.schema['model'].dataType.simpleString()}, gold {c.schema['gold'].dataType.simpleString()}"
+        cells.append(accuracy(c, spark.createDataFrame(pairs, kinds)).withColumnRenamed("accuracy", f"{name}_one_to_one"))
+        cells.append(accuracy(c, many_to_one(c)).withColumnRenamed("accuracy", f"{name}_many_to_one"))
+    for name, c in (("full", conf), ("reduced", short)):
+        cells.append(pairwise(c).toDF(*[f"{name}_{x}" for x in ("precision", "recall", "f")]))
+        cells.append(variation_of_information(c).withColumnRenamed("vi", f"{name}_vi"))
+    out = cells[0]
+    for c in cells[1:]:
+        out = out.crossJoin(c)  # one row each
+    return out
+
+
+def bundle_line(row: DataFrame) -> DataFrame:
+    """`value`: the numbers of a bundle in their order, six digits each, between tabs."""
+    return row.select(F.concat_ws("\t", *[F.format_string("%f", F.col(c)) for c in row.columns]).alias("value"))
+
+
 def shannon(df: DataFrame, count: str, *by: str) -> DataFrame:
     """Entropy in bits of counts by group; zeros add nothing."""
     s = F.sum(count).over(Window.partitionBy(*by))

@@ -79,3 +79,24 @@ def has_code(markup: Column, tag: str, name: str, code: str) -> Column:
 def any_code(markup: Column, tag: str, name: str, code: str) -> Column:
     """Is `code` among the words of that attribute of any such element?"""
     return F.coalesce(markup.rlike(f"(?is)<{re.escape(tag)}\\b[^>]*?\\s{re.escape(name)}\\s*=\\s*\"([^\"]*\\s)?{re.escape(code)}(\\s[^\"]*)?\""), F.lit(False))
+
+
+# The classification codes that have names of their own.
+CODES = """
+WRI SPO ACPROSE FICTION NONAC NEWS OTHERPUB UNPUB CONVRSN OTHERSP ALLAVA0 ALLAVA2 ALLTYP1 ALLTYP2 ALLTYP3 ALLTYP4 ALLTYP5
+SCGDOM1 SCGDOM2 SCGDOM3 SCGDOM4 SDEAGE1 SDEAGE2 SDEAGE3 SDEAGE4 SDEAGE5 SDEAGE6 SDECLA0 SDECLA1 SDECLA2 SDECLA3 SDECLA4
+SDESEX0 SDESEX1 SDESEX2 SPOLOG1 SPOLOG2 SPOREG0 SPOREG1 SPOREG2 SPOREG3 WRIAUD1 WRIAUD2 WRIAUD3 WRIAUD4 WRITAS1 WRITAS2 WRITAS3 WRITAS0
+WRIAAG0 WRIAAG1 WRIAAG2 WRIAAG3 WRIAAG4 WRIAAG5 WRIAAG6 WRIAD1 WRIAD2 WRIAD3 WRIAD4 WRIAD5 WRIAD0 WRIASE0 WRIASE1 WRIASE2 WRIASE3
+WRIATY1 WRIATY2 WRIATY3 WRIATY0 WRISTA0 WRISTA1 WRISTA2 WRISTA3 WRILEV1 WRILEV2 WRILEV3
+WRIDOM1 WRIDOM2 WRIDOM3 WRIDOM4 WRIDOM5 WRIDOM6 WRIDOM7 WRIDOM8 WRIDOM9 WRIMED1 WRIMED2 WRIMED3 WRIMED4 WRIMED5
+ALLTIM1 ALLTIM2 ALLTIM3 ALLTIM0 WRIPP0 WRIPP1 WRIPP2 WRIPP6 WRIPP3 WRIPP4 WRIPP5 WRISAM0 WRISAM1 WRISAM2 WRISAM3 WRISAM4 WRISAM5
+""".split()
+#: The codes that a text's own type attribute gives; the others stand in its class references.
+TYPES = CODES[2:10]
+
+
+def predefined(markup: Column) -> dict[str, Column]:
+    """All names a filter expression may use: the codes, POETRY, TRUE and FALSE."""
+    of_type = lambda c: F.coalesce((attribute(markup, "wtext", "type") == c) | (attribute(markup, "stext", "type") == c), F.lit(False))
+    names = {c: of_type(c) if c in TYPES else has_code(markup, "catRef", "targets", c) for c in CODES}
+    return names | {"POETRY": has_element(markup, "lg"), "TRUE": F.lit(True), "FALSE": F.lit(False)}

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small, written
+
+
 def sentence():
     """A sentence's tokens in order."""
     return Window.partitionBy("doc_id", "sent_id").orderBy("pos")
@@ -56,10 +59,11 @@ def transition_probabilities(trans: DataFrame, states: int, gamma: float) -> Dat
 
 def emission_probabilities(words: DataFrame, prior: float, content_prior: float | None = None, content: int = 0) -> DataFrame:
     """state, word, p of pairs that occur: (n + prior) / (state's n + words * prior); the first `content` states may have their own prior."""
-    vocab = F.broadcast(words.agg(F.countDistinct("word").alias("v")))  # one row
     b = F.when(F.col("state") < content, F.lit(content_prior)).otherwise(F.lit(prior)) if content_prior is not None else F.lit(prior)
-    per = F.sum("n").over(Window.partitionBy("state"))
-    return words.withColumn("per", per).crossJoin(vocab).select("state", "word", ((F.col("n") + b) / (F.col("per") + F.col("v") * b)).alias("p"))
+    words = written(words, "state_words")
+    vocab = F.broadcast(words.agg(F.countDistinct("word").alias("v")))  # one row
+    per = F.broadcast(words.groupBy(F.col("state").alias("of_state")).agg(F.sum("n").alias("per")))  # a row a state
+    return words.join(per, F.col("state") == F.col("of_state")).crossJoin(vocab).select("state", "word", ((F.col("n") + b) / (F.col("per") + F.col("v") * b)).alias("p"))
 
 
 def topic_counts(tokens: DataFrame) -> DataFrame:
@@ -116,6 +120,83 @@ def chunk_probabilities(counts: DataFrame, states: DataFrame, alpha: float, rho:
 def chunk_transition_probabilities(bigrams: DataFrame, probs: DataFrame, beta: float) -> DataFrame:
     """prev, chunk, p of pairs that occur: (n + beta * p(chunk)) / (prev's n + beta * chunk types)."""
     types = F.broadcast(probs.agg(F.count("*").alias("types")))
-    per = F.sum("n").over(Window.partitionBy("prev"))
-    rows = bigrams.withColumn("per", per).join(probs.select(F.col("chunk").alias("c"), F.col("p").alias("pc")), F.col("chunk") == F.col("c")).crossJoin(types)
+    bigrams = written(bigrams, "bigrams")
+    per = small(written(bigrams.groupBy(F.col("prev").alias("of_prev")).agg(F.sum("n").alias("per")), "per"))
+    rows = bigrams.join(per, F.col("prev") == F.col("of_prev")).join(probs.select(F.col("chunk").alias("c"), F.col("p").alias("pc")), F.col("chunk") == F.col("c")).crossJoin(types)
     return rows.select("prev", "chunk", ((F.col("n") + beta * F.col("pc")) / (F.col("per") + beta * F.col("types"))).alias("p"))
+
+
+def third_order(tokens: DataFrame, states: int) -> DataFrame:
+    """lag3, lag2, lag1, state, n: counts of states after the three before; a sentence's end resets what was before."""
+    lags = {f"lag{k}": previous("state", k, states) for k in (1, 2, 3)}
+    return tokens.withColumns(lags).groupBy("lag3", "lag2", "lag1", "state").agg(F.count("*").alias("n"))
+
+
+def second_order_probabilities(trans: DataFrame, states: int, gamma: float) -> DataFrame:
+    """prev2, prev, state, p for all triples: (n + gamma) / (row + states' * gamma), the boundary among the states."""
+    g = grid(trans.sparkSession, states, 3).join(F.broadcast(trans), (F.col("g0") == F.col("lag2")) & (F.col("g1") == F.col("lag1")) & (F.col("g2") == F.col("state")), "left")  # states cubed rows
+    n = F.coalesce("n", F.lit(0))
+    row = F.sum(n).over(Window.partitionBy("g0", "g1"))
+    return g.select(F.col("g0").alias("prev2"), F.col("g1").alias("prev"), F.col("g2").alias("state"), ((n + gamma) / (row + (states + 1) * gamma)).alias("p"))
+
+
+def masked_emissions(words: DataFrame, dictionary: DataFrame, prior: float) -> DataFrame:
+    """state, word, p of pairs that occur and that the dictionary (word, states) allows; each state's shares are those of the words it may have."""
+    listed = words.join(dictionary.select(F.col("word").alias("of_word"), "states"), F.col("word") == F.col("of_word"), "left").drop("of_word")
+    kept = written(listed.where(F.col("states").isNull() | F.array_contains("states", F.col("state"))), "masked")
+    every = words.select("word").distinct().join(dictionary.select(F.col("word").alias("of_word"), "states"), F.col("word") == F.col("of_word"), "left")
+    state_ids = words.select("state").distinct()
+    free = every.agg(F.count_if(F.col("states").isNull()).alias("free"))  # one row
+    own = every.where("states IS NOT NULL").select(F.explode("states").alias("s")).groupBy("s").agg(F.count("*").alias("own"))
+    size = state_ids.join(own, F.col("state") == F.col("s"), "left").crossJoin(F.broadcast(free)).select(F.col("state").alias("s"), (F.coalesce("own", F.lit(0)) + F.col("free")).alias("v"))
+    per = kept.groupBy(F.col("state").alias("of_state")).agg(F.sum("n").alias("per"))
+    both = F.broadcast(per.join(size, F.col("of_state") == F.col("s")).drop("s"))  # a row a state
+    return kept.join(both, F.col("state") == F.col("of_state")).select("state", "word", ((F.col("n") + prior) / (F.col("per") + F.col("v") * prior)).alias("p"))
+
+
+def word_unigrams(words: DataFrame, emissions: DataFrame) -> DataFrame:
+    """word, p: the shares of states times their words' probabilities, summed over the states that had the word."""
+    share = words.groupBy(F.col("state").alias("s")).agg(F.sum("n").alias("n"))
+    share = F.broadcast(share.select("s", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share")))  # a row a state
+    return emissions.join(share, F.col("state") == F.col("s")).groupBy("word").agg(F.sum(F.col("p") * F.col("share")).alias("p"))
+
+
+def top_by_probability(emissions: DataFrame, k: int) -> DataFrame:
+    """state, rank, word, p: the k likeliest words of each state, the first of equals by name; `Null` fills up."""
+    rank = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("p"), "word"))
+    top = emissions.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    places = emissions.select("state").distinct().select(F.col("state").alias("s"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("r"))
+    got = places.join(top, (F.col("s") == F.col("state")) & (F.col("r") == F.col("rank")), "left")
+    return got.select(F.col("s").alias("state"), F.col("r").alias("rank"), F.coalesce("word", F.lit("Null")).alias("word"), F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+def tabulated(top: DataFrame, width: int = 4) -> DataFrame:
+    """block, rank and c0, c1, ...: the words of `width` states side by side."""
+    cols = [F.max(F.when(F.col("state") % width == i, F.col("word"))).alias(f"c{i}") for i in range(width)]
+    return top.groupBy(F.floor(F.col("state") / width).alias("block"), "rank").agg(*cols)
+
+
+def top_chunks(probs: DataFrame, k: int = 100) -> DataFrame:
+    """The k chunks with the greatest values, the last of equals by name."""
+    return probs.orderBy(F.desc("p"), F.desc("chunk")).limit(k)
+
+
+def long_chunks(counts: DataFrame, parts: int = 5) -> DataFrame:
+    """Chunks of more parts than that."""
+    return counts.where(F.size(F.split("chunk", "[+]")) > parts)
+
+
+def invariants(tokens: DataFrame, states: int) -> DataFrame:
+    """name, counted, expected: sums of the model's counts that have to be the number of tokens (and sentences)."""
+    ctx = contexts(tokens, states)
+    whole = tokens.agg(F.count("*").alias("expected"))
+    sums = [
+        state_words(tokens).agg(F.sum("n").alias("counted")).select(F.lit("state_word").alias("name"), "counted"),
+        transitions(ctx, 1).agg(F.sum("n").alias("counted")).select(F.lit("first_order").alias("name"), "counted"),
+        transitions(ctx, 2).agg(F.sum("n").alias("counted")).select(F.lit("second_order").alias("name"), "counted"),
+        states_of(tokens).agg(F.sum("n").alias("counted")).select(F.lit("state").alias("name"), "counted"),
+    ]
+    out = sums[0]
+    for s in sums[1:]:
+        out = out.unionByName(s)
+    return out.crossJoin(F.broadcast(whole))  # one row

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import signature
 
+from .store import ranked, small, written
+
 
 def lexicon(tokens: DataFrame, min_freq: int = 4) -> DataFrame:
     """word, freq of words seen min_freq times or more."""
@@ -31,23 +33,26 @@ def joined(tokens: DataFrame) -> DataFrame:
 
 def clean_corpus(sents: DataFrame, tokens: DataFrame, min_freq: int = 4, suffixes: bool = True, lex: DataFrame | None = None) -> DataFrame:
     """Sentences with unknown words replaced."""
-    return joined(clean(tokens, lexicon(tokens, min_freq) if lex is None else lex, suffixes))
+    # written and, if it is small, broadcast: tokens are not dealt by word, where the frequent ones would meet in one task
+    lex = small(written(lexicon(tokens, min_freq).select("word"), "lexicon")) if lex is None else lex
+    return joined(clean(tokens, lex, suffixes))
 
 
 def vocabulary(tokens: DataFrame, n_sentences: DataFrame) -> DataFrame:
     """word_id, word, cn: the sentence end first, then by falling count and rising word.
 
-    Ranks are counted in groups of one count and two first letters, whose number is bounded;
-    only those are summed up in one place.
+    Words are ranked by ranges of this order, so no task holds all of a count.
     """
-    counts = tokens.groupBy("word").agg(F.count("*").alias("cn")).withColumn("head", F.substring("word", 1, 2))
-    per = counts.groupBy("cn", "head").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cn"), "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = per.select(F.col("cn").alias("of_cn"), F.col("head").alias("of_head"), before.alias("start"))
-    own = F.row_number().over(Window.partitionBy("cn", "head").orderBy("word"))
-    ranked = counts.withColumn("own", own).join(start, (F.col("cn") == F.col("of_cn")) & (F.col("head") == F.col("of_head")))
+    counts = tokens.groupBy("word").agg(F.count("*").alias("cn"))
+    rows = ranked(counts, "vocabulary", F.desc("cn"), "word")
     end = n_sentences.select(F.lit(0).cast("long").alias("word_id"), F.lit("</s>").alias("word"), F.col("n").alias("cn"))
-    return end.unionByName(ranked.select((F.col("start") + F.col("own")).cast("long").alias("word_id"), "word", "cn"))
+    return end.unionByName(rows.select(F.col("rank").cast("long").alias("word_id"), "word", "cn"))
+
+
+def first_seen(tokens: DataFrame) -> DataFrame:
+    """word_id, word: words numbered from 0 in the order in which they first occur."""
+    first = tokens.groupBy("word").agg(F.min(F.struct("doc_id", "sent_id", "pos")).alias("at"))
+    return ranked(first, "first", "at").select((F.col("rank") - 1).cast("long").alias("word_id"), "word")
 
 
 def word_classes(vocab: DataFrame, classes: int, root: bool = False) -> DataFrame:

@@ -7,11 +7,14 @@ combined before they are shuffled.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import shared_dir, small
+
 START, END = "<s>", "</s>"
 DISCOUNT = 0.7
 
@@ -50,6 +53,7 @@ class KneserNey:
 
     def __init__(self, order: int, num: DataFrame, ctx: DataFrame, meta: DataFrame, discount: float = DISCOUNT):
         self.order, self.num, self.ctx, self.meta, self.discount = order, num, ctx, meta, discount
+        self.is_stored = False
 
     def save(self, path: str) -> None:
         self.num.write.mode("overwrite").partitionBy("order").parquet(f"{path}/num")
@@ -62,7 +66,24 @@ class KneserNey:
         meta = spark.read.parquet(f"{path}/meta")
         head = meta.first()
         num, ctx = (spark.read.parquet(f"{path}/{x}").withColumn("order", F.col("order").cast("long")) for x in ("num", "ctx"))
-        return cls(head["n"], selected(num, only) if only is not None else num, ctx, meta, head["discount"])
+        if only is not None:  # and no contexts but theirs
+            num = selected(num, only)
+            ctx = ctx.join(only.select(F.slice("ngram", 1, F.size("ngram") - 1).alias("ctx")).distinct(), "ctx", "left_semi").select(*ctx.columns)
+        out = cls(head["n"], num, ctx, meta.select("unigram_denominator"), head["discount"])
+        out.is_stored = True
+        return out
+
+    def stored(self) -> KneserNey:
+        """The model in the shared folder, a folder an order: what uses it reads its tables and counts nothing again."""
+        path = f"{shared_dir(self.num.sparkSession)}/model-{uuid.uuid4().hex}"
+        self.save(path)
+        return KneserNey.load(self.num.sparkSession, path)
+
+
+def all_orders(wins: DataFrame, n: int) -> DataFrame:
+    """ngram: what scores of windows of n tokens look up in a model, the ends of each window at all orders and, for their contexts, the words before."""
+    ends = F.array(*[F.slice("ngram", n - d + 1, d) for d in range(1, n + 1)])
+    return wins.select(F.explode(ends).alias("ngram")).distinct()
 
 
 def selected(num: DataFrame, only: DataFrame) -> DataFrame:
@@ -99,9 +120,11 @@ def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
     n, D = model.order, F.lit(model.discount)
     for d in range(1, n + 1):
         num = model.num.where(F.col("order") == d).select(F.col("ngram").alias(f"g{d}"), F.col("c").alias(f"num{d}"))
+        num = small(num) if d == 1 and model.is_stored else num  # words are few, and frequent ones would meet in one task
         rows = rows.join(num, F.slice("ngram", n - d + 1, d) == F.col(f"g{d}"), "left").drop(f"g{d}")
         if d > 1:
             ctx = model.ctx.where(F.col("order") == d).select(F.col("ctx").alias(f"x{d}"), F.col("den").alias(f"den{d}"), F.col("nz").alias(f"nz{d}"))
+            ctx = small(ctx) if d == 2 and model.is_stored else ctx
             rows = rows.join(ctx, F.slice("ngram", n - d + 1, d - 1) == F.col(f"x{d}"), "left").drop(f"x{d}")
     rows = rows.crossJoin(F.broadcast(model.meta.select("unigram_denominator")))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
@@ -152,3 +175,14 @@ def two_sided(sents: DataFrame, d: int) -> DataFrame:
     t = sents.select(F.concat(F.array_repeat(F.lit(START), d - 1), F.col("tokens"), F.array_repeat(F.lit(END), d - 1)).alias("t"))
     each = F.transform(F.sequence(F.lit(d), F.size("t") - d + 1), lambda i: F.struct(F.concat(F.slice("t", i - d + 1, d - 1), F.slice("t", i + 1, d - 1)).alias("ctx"), F.element_at("t", i).alias("pivot")))
     return t.select(F.explode(each).alias("x")).select("x.ctx", "x.pivot")
+
+
+def two_sided_probabilities(pairs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """ctx, pivot, p of pairs that occur (columns ctx, pivot): the discounted share in the context, and the rest by the pivot's own share."""
+    c = pairs.groupBy("ctx", "pivot").agg(F.count("*").alias("n"))
+    per = c.groupBy(F.col("ctx").alias("of_ctx")).agg(F.sum("n").alias("den"), F.count("*").alias("nz"))
+    own = c.groupBy(F.col("pivot").alias("of_pivot")).agg(F.sum("n").alias("own"))
+    whole = c.agg(F.sum("n").alias("whole"))
+    rows = c.join(per, F.col("ctx") == F.col("of_ctx")).join(own, F.col("pivot") == F.col("of_pivot")).crossJoin(F.broadcast(whole))  # one row
+    p = (F.col("n") - discount) / F.col("den") + F.col("nz") * F.lit(discount) / F.col("den") * F.col("own") / F.col("whole")
+    return rows.select("ctx", "pivot", p.alias("p"))

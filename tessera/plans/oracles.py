@@ -155,7 +155,7 @@ ORACLES = {
     "score_sentences": SCORES + " SELECT doc_id, sent_id, round(ppl, 4) AS ppl, sent_length, " + r6(*METRICS) + " FROM scored",
     "perplexity_by_document": WORDS + " SELECT doc_id, round(-sum(lp) / count(*), 6) AS entropy, round(pow(10::DOUBLE, -sum(lp) / count(*)), 4) AS perplexity FROM words GROUP BY doc_id",
     "score_correlation": SCORES + ", d AS (SELECT doc_id, " + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + " FROM scored GROUP BY doc_id), j AS (SELECT d.*, CAST(quality AS DOUBLE) AS rating FROM d JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(corr({m}, rating), 6) AS correlation FROM j" for m in METRICS),
-    "lm_interpolation": WORDS + " SELECT doc_id, round(sum(log10(0.75::DOUBLE * pow(10::DOUBLE, lp) + 0.25::DOUBLE * pow(10::DOUBLE, up))), 5) AS logprob FROM words GROUP BY doc_id",
+    "lm_interpolation": WORDS + " SELECT w.doc_id, round(sum(CASE WHEN c.known THEN log10(0.75::DOUBLE * pow(10::DOUBLE, lp) + 0.25::DOUBLE * pow(10::DOUBLE, up)) WHEN c.known IS NULL THEN log10(0.75::DOUBLE * pow(10::DOUBLE, lp) + 0.25::DOUBLE * pow(10::DOUBLE, up)) ELSE -8 END), 5) AS logprob FROM words w LEFT JOIN cleaned c ON w.doc_id = c.doc_id AND w.sent_id = c.sent_id AND w.pos = c.pos GROUP BY w.doc_id",
     "selected_ngrams": KN3 + r""", bs AS (SELECT list_concat(list_concat(['<s>', '<s>'], list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')), ['</s>']) AS t FROM benchmark),
         bg AS (SELECT DISTINCT list_slice(t, i, i + 2) AS ngram FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM bs)) SELECT array_to_string(n3.ngram, ' ') AS ngram, c FROM n3 WHERE ngram IN (SELECT ngram FROM bg)""",
     "vocabulary": VOC + " SELECT word_id, word, cn FROM voc",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bags, evaluate, filters, hmm, lexicon, morph, ngram, sampling, scores
+from tessera.operators.store import written
 from tessera.sources import corpus
 
 from .oracles import ORACLES
@@ -40,8 +41,8 @@ def benchmark_tokens(spark, d) -> DataFrame:
 
 
 def model(spark, d) -> tuple[ngram.KneserNey, DataFrame]:
-    wins = ngram.windows(cleaned(spark, d), 3)
-    return ngram.kneser_ney(wins, 3), wins
+    wins = ngram.windows(written(cleaned(spark, d), "cleaned"), 3)
+    return ngram.kneser_ney(wins, 3).stored(), wins
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -227,10 +228,17 @@ def score_correlation(spark, d):
     return rounded(scores.correlate(per, ratings, "doc_id", scores.SCORES), 6, "correlation")
 
 
+def known_words(spark, d) -> DataFrame:
+    """Word log-probabilities with `known`: was the word itself in the lexicon? Sentence ends are."""
+    t = toks(spark, d)
+    known = lexicon.clean(t, lexicon.lexicon(t)).select(F.col("doc_id").alias("d"), F.col("sent_id").alias("s"), F.col("pos").alias("i"), F.col("known").alias("k"))
+    w = scores.word_log_probabilities(*model(spark, d))
+    return w.join(known, (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s")) & (F.col("pos") == F.col("i")), "left").select(*w.columns, F.coalesce("k", F.lit(True)).alias("known"))
+
+
 @query
 def lm_interpolation(spark, d):
-    w = scores.word_log_probabilities(*model(spark, d))
-    return rounded(w.groupBy("doc_id").agg(F.sum(scores.interpolated(F.col("lp"), F.col("up"), 0.75, F.lit(False))).alias("logprob")), 5, "logprob")
+    return rounded(known_words(spark, d).groupBy("doc_id").agg(F.sum(scores.interpolated(F.col("lp"), F.col("up"), 0.75, ~F.col("known"))).alias("logprob")), 5, "logprob")
 
 
 @query
@@ -410,12 +418,12 @@ def word_swap(spark, d):
 
 
 def sampler_input(spark, d) -> tuple[DataFrame, int]:
-    """Sentences of word ids over the lexicon, and the number of words."""
+    """Sentences of word ids over the cleaned corpus, and the number of words."""
     from tessera.operators import bayes
 
-    t = toks(spark, d)
-    lex = lexicon.lexicon(t)
-    ids = lexicon.vocabulary(t.join(lex.select(F.col("word").alias("of")), F.col("word") == F.col("of"), "left_semi"), t.limit(1).select(F.lit(0).cast("long").alias("n")))
+    s = written(cleaned(spark, d), "cleaned")  # rare words are their signatures, so no token goes
+    t = corpus.tokens(s)
+    ids = lexicon.vocabulary(t, s.agg(F.count("*").alias("n")))
     return bayes.word_ids(t, ids), ids.count()
 
 
@@ -524,3 +532,6 @@ def kn_tag_prob(spark, d):
     both = wins.join(t.select(F.col("doc_id").alias("d"), F.col("sent_id").alias("s"), F.col("pos").alias("i"), "word", "tag"), (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s")) & (F.col("pos") == F.col("i")))
     wf, tf = t.groupBy("word").agg(F.count("*").alias("freq")), t.groupBy("tag").agg(F.count("*").alias("freq"))
     return rounded(ngram.tag_probabilities(ngram.kneser_ney(wins, 3), both, wf, tf).withColumn("ngram", JOIN("ngram")), 9, "p")
+
+
+from tessera.plans import more  # noqa: E402,F401  registers further queries

@@ -53,9 +53,17 @@ def read_conll(blocks: DataFrame, key: str, block: str) -> DataFrame:
 
 def document_numbers(lines: DataFrame, file_col: str, order: list[str], line_col: str, mark: str = "<PAGEBOUNDARY>") -> DataFrame:
     """Adds doc, counted up by boundary lines of each file; the boundary lines go."""
-    flag = (F.trim(line_col) == mark).cast("long")
-    doc = F.sum(flag).over(Window.partitionBy(file_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("doc", doc).where(F.trim(line_col) != mark)
+    from tessera.operators.store import written
+
+    # ranges of a file's lines are counted by themselves and start where the ones before end, so a large file is not one task's
+    cut = lines.repartitionByRange(file_col, *order).withColumns({"_part": F.spark_partition_id(), "_flag": (F.trim(line_col) == mark).cast("long")})
+    rows = written(cut, "lines")
+    sums = rows.groupBy(F.col(file_col).alias("_file"), F.col("_part").alias("_of")).agg(F.sum("_flag").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_file", "_of", before.alias("_before"))  # a row a file and range
+    own = F.sum("_flag").over(Window.partitionBy(file_col, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.withColumn("_own", own).join(sums, F.col(file_col).eqNullSafe(F.col("_file")) & (F.col("_part") == F.col("_of")))
+    return got.withColumn("doc", F.col("_own") + F.col("_before")).where(F.trim(line_col) != mark).select(*lines.columns, "doc")
 
 
 def characters(line: Column) -> Column:

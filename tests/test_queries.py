@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.plans.more_sql import MORE
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +26,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["lexicon", "unknown_signatures", "conll_sentences", "kn_twosided_ctx", "score_correlation", "vocabulary", "document_filter", "bag_distances", "pairwise_prf", "variation_of_information", "hmm_transition_prob", "chunk_prob"])
+@pytest.mark.parametrize("name", ["lexicon", "unknown_signatures", "conll_sentences", "kn_twosided_ctx", "score_correlation", "vocabulary", "document_filter", "bag_distances", "pairwise_prf", "variation_of_information", "hmm_transition_prob", "chunk_prob", "kn_meta", "document_numbers", "lm_interpolation", *MORE])
 def test_like_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
@@ -46,8 +47,8 @@ def test_stream(spark, tmp_path):
     from tessera.streaming.scoring import score_stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("a b c\n\nb a\n")
+    (tmp_path / "in" / "a.txt").write_text("a b c\n\nb a\nb a\n")
     s = spark.createDataFrame([(0, 0, ["a", "b", "c"]), (0, 1, ["b", "a"])], "doc_id long, sent_id long, tokens array<string>")
     got = []
     score_stream(spark, str(tmp_path / "in"), kneser_ney(windows(s, 2), 2), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.sent_length for r in got) == [2, 3]
+    assert sorted(r.sent_length for r in got) == [2, 2, 3]
