@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bpe import piece_pattern
 from .common import LAST_ID, chunks, discard, map_arrow, text_of, to_python, written
-from .substring_dedup import BYTES, POWERS, mixed
+from .substring_dedup import mixed
 
 SCALE, LANES, BLOCK, EVERY, SEGMENT = 20, 32, 32768, 256, 1 << 18
 LOW = np.uint64(1 << 31)
@@ -52,6 +52,9 @@ ID = attrgetter("id")
 MOST_PARTITIONS = 1_000_000
 #: Blocks that take their steps together.
 WIDE = 128
+#: Bytes of a part that is told apart by its bytes as they are; and the masks of the first 0 to 8 bytes.
+LONG = 64
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Classes of bytes: 0 ASCII white space, 1 letter, 2 digit, 3 other, 4 to be looked at by the pattern itself.
 CLASS = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 4 if b > 127 or b == 39 or b in (28, 29, 30, 31) else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 
@@ -137,7 +140,8 @@ class FastTokens:
     def encode_plain(self, texts: list[bytes], data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """encode() of texts without added tokens; `data` is all of them.
 
-        Parts are grouped by a hash and compared with the first of their group byte by byte; each different one is looked up once.
+        Parts are grouped by a hash of 8 bytes at a time and compared with the first of their group; those over LONG bytes are grouped by
+        their bytes. Each different one is looked up once.
         """
         counts = np.zeros(len(texts), np.int64)
         if not data:
@@ -155,18 +159,29 @@ class FastTokens:
         cut[first[sizes > 0]] = True
         start = np.flatnonzero(cut)
         size = np.diff(np.append(start, len(b)))
-        inner = np.arange(len(b)) - np.repeat(start, size)
-        code = mixed(np.add.reduceat(BYTES[b] * POWERS[inner & 4095], start) + size.astype(np.uint64))
+        eights = np.ndarray(len(b), "<u8", data + b"\0" * 8, strides=(1,))  # the 8 bytes from each place on
+
+        def word(k: int, own: np.ndarray, like: np.ndarray) -> np.ndarray:
+            """The k-th 8 bytes of parts `like`, as far as parts `own` are long."""
+            return eights[start[like] + 8 * k] & LOW_BYTES[np.minimum(size[own] - 8 * k, 8)]
+
+        steps = [np.arange(len(start))]  # parts with a k-th word
+        while len(steps) < LONG // 8 and len(more := steps[-1][size[steps[-1]] > 8 * len(steps)]):
+            steps.append(more)
+        code = mixed(size.astype(np.uint64))
+        for k, own in enumerate(steps):
+            code[own] = mixed(code[own] ^ word(k, own, own))
         which, _ = pd.factorize(code)
         n = int(which.max()) + 1
         one = np.zeros(n, np.int64)
         one[which[::-1]] = np.arange(len(which))[::-1]  # the first of each
-        other = np.flatnonzero(size != size[one[which]])
-        place = np.arange(len(b), dtype=np.int64) + np.repeat(start[one[which]] - start, size)
-        differs = b[np.minimum(place, len(b) - 1)] != b
-        if differs.any():
-            other = np.union1d(other, np.searchsorted(start, np.flatnonzero(differs), "right") - 1)
-        if len(other):  # parts with the hash of another
+        like = one[which]
+        differs = (size != size[like]) | (size > LONG)
+        for k, own in enumerate(steps):
+            own = own[~differs[own]]
+            differs[own] = word(k, own, own) != word(k, own, like[own])
+        other = np.flatnonzero(differs)
+        if len(other):  # parts with the hash of another, and long ones: by their bytes
             own: dict[bytes, int] = {}
             which[other] = [n + own.setdefault(data[start[i] : start[i] + size[i]], len(own)) for i in other.tolist()]
             one = np.zeros(n + len(own), np.int64)
@@ -367,7 +382,7 @@ def segments(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
             cols = {"doc_ids": np.concatenate(doc_ids).astype("<i8").tobytes(), "lengths": np.concatenate(lengths).astype("<i8").tobytes(), "ids": np.concatenate(got).tobytes()}
             return pa.RecordBatch.from_pydict({k: [v] for k, v in ({"part": part, "first": first} | cols).items()}, pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
 
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 2 << 20):
             ids, n = t.encode(b.column("text").cast(pa.binary()).to_pylist())
             ids, own = np.insert(ids, np.cumsum(n), end_id), b.column("id").to_numpy()
             n = n + 1

@@ -110,3 +110,12 @@ def test_corpus_files(spark, monkeypatch):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
     assert B.decode_corpus(*B.encode_corpus(df.where("false"), JSON)).count() == 0
+
+
+def test_parts_with_one_hash_stay_apart(monkeypatch):
+    t, lib = B.FastTokens(JSON), Tokenizer.from_file(JSON)
+    monkeypatch.setattr(B, "mixed", lambda x: x & np.uint64(1))
+    many = texts(60) + ["abcdefgh ijklmnop abcdefgi ijklmnop", "x" * 70 + " " + "x" * 69 + "y " + "x" * 70]
+    ids, n = t.encode([x.encode() for x in many])
+    for x, e, k in zip(many, np.cumsum(n), n):
+        assert ids[e - k : e].tolist() == lib.encode(x, add_special_tokens=False).ids, x
