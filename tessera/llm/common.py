@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LAST_ID = (1 << 63) - 1
 #: Bytes of a Parquet row group that holds large binary cells.
 BLOB_ROW_GROUP = 8 << 20
+#: Bytes of a page of such cells, within which alike ones are found.
+BLOB_PAGE = 4 << 20
 #: Bytes of an Arrow batch on its way to Python; Spark's own bound (64 MB, 10,000 rows) is too much for whole texts.
 BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
@@ -38,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, blobs: bool = False, level: int = 3) -> DataFrame:
     """`df` written to the shared folder and read back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
     if blobs:
-        out = out.option("parquet.block.size", BLOB_ROW_GROUP)
+        out = out.option("parquet.block.size", BLOB_ROW_GROUP).option("parquet.page.size", BLOB_PAGE)
     out.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._tessera_path = path

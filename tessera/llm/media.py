@@ -29,6 +29,8 @@ from .common import map_arrow, text_of, written
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: Forms of a payload, its unit in bytes (an ADPCM block), the rate it is stored at (wideband), and the rate of PCM.
 FORMS, UNIT, STORED_RATE, RATE = (MULAW, ALAW, IMA_ADPCM), 64, 16000, 8000
+#: How hard the stored tables are compressed.
+LEVEL = 9
 # The step table of IMA ADPCM and its index changes.
 IMA_STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -141,13 +143,9 @@ def doubled(x: np.ndarray) -> np.ndarray:
 
 
 def halved(x: np.ndarray) -> np.ndarray:
-    """Half the rate: a half-band filter with the weights of doubled(), in integers, so results are exact."""
-    if not len(x):
-        return x.astype(np.int16)
-    p = np.pad(x.astype(np.int32), 3, "edge")
-    n = len(x)
-    y = (16 * p[3 : n + 3] + 9 * (p[2 : n + 2] + p[4 : n + 4]) - p[:n] - p[6 : n + 6] + 16) >> 5
-    return np.clip(y[::2], -32768, 32767).astype(np.int16)
+    """Half the rate: the means of neighbouring pairs, rounded down, so results are exact; a last sample without a neighbour stays."""
+    x = x.astype(np.int32)
+    return ((x[::2] + np.append(x, x[-1:])[1::2][: len(x[::2])]) >> 1).astype(np.int16)
 
 
 def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -275,6 +273,6 @@ def pcm_features(df: DataFrame, keep: tuple[str, ...], pcm_col: str = "pcm") ->
 
 def op8(spark, docs: DataFrame) -> DataFrame:
     """Texts stored as WAV files in the shared folder, read back, decoded to stored PCM, and that read back and described."""
-    files = written(encode_payload(docs), "media", blobs=True)
-    pcm = written(decode_audio(files, "doc_id", "media", keep=("n_bytes",)), "pcm", blobs=True)
+    files = written(encode_payload(docs), "media", blobs=True, level=LEVEL)
+    pcm = written(decode_audio(files, "doc_id", "media", keep=("n_bytes",)), "pcm", blobs=True, level=LEVEL)
     return pcm_features(pcm, ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "source_format", "n_samples"))

@@ -43,8 +43,7 @@ def test_resampling():
 
 def test_halving():
     x = np.array([0, 100, 200, -32768, 32767, 5, 7], np.int16)
-    at = lambda i: int(x[min(max(i, 0), len(x) - 1)])
-    want = [max(-32768, min(32767, (16 * at(i) + 9 * (at(i - 1) + at(i + 1)) - at(i - 3) - at(i + 3) + 16) >> 5)) for i in range(0, len(x), 2)]
+    want = [(int(x[i]) + int(x[min(i + 1, len(x) - 1)])) >> 1 for i in range(0, len(x), 2)]
     assert M.resampled(x, 16000, 8000).tolist() == want and len(M.resampled(x[:0], 16000, 8000)) == 0
 
 
