@@ -7,13 +7,12 @@ combined before they are shuffled.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import shared_dir, small
+from .store import small, written
 
 START, END = "<s>", "</s>"
 DISCOUNT = 0.7
@@ -53,7 +52,8 @@ class KneserNey:
 
     def __init__(self, order: int, num: DataFrame, ctx: DataFrame, meta: DataFrame, discount: float = DISCOUNT):
         self.order, self.num, self.ctx, self.meta, self.discount = order, num, ctx, meta, discount
-        self.is_stored = False
+        self.by_order: dict[int, DataFrame] = {}  # written counts, if there are
+        self.source: tuple[DataFrame, DataFrame] | None = None  # the windows it was made of, and their counts
 
     def save(self, path: str) -> None:
         self.num.write.mode("overwrite").partitionBy("order").parquet(f"{path}/num")
@@ -69,15 +69,21 @@ class KneserNey:
         if only is not None:  # and no contexts but theirs
             num = selected(num, only)
             ctx = ctx.join(only.select(F.slice("ngram", 1, F.size("ngram") - 1).alias("ctx")).distinct(), "ctx", "left_semi").select(*ctx.columns)
-        out = cls(head["n"], num, ctx, meta.select("unigram_denominator"), head["discount"])
-        out.is_stored = True
-        return out
+        return cls(head["n"], num, ctx, meta.select("unigram_denominator"), head["discount"])
 
-    def stored(self) -> KneserNey:
-        """The model in the shared folder, a folder an order: what uses it reads its tables and counts nothing again."""
-        path = f"{shared_dir(self.num.sparkSession)}/model-{uuid.uuid4().hex}"
-        self.save(path)
-        return KneserNey.load(self.num.sparkSession, path)
+
+def stored_kneser_ney(wins: DataFrame, n: int, discount: float = DISCOUNT) -> KneserNey:
+    """kneser_ney() with each order's counts written to the shared folder, made from those of the order above; what uses the model counts nothing again."""
+    level = written(wins.groupBy("ngram").agg(F.count("*").alias("c")), f"num{n}")
+    tables = [level]
+    for d in range(n - 1, 0, -1):
+        level = written(level.groupBy(F.slice("ngram", 2, d).alias("ngram")).agg(F.count("*").alias("c")), f"num{d}")
+        tables.append(level)
+    tables = [t.select(F.lit(n - i).cast("long").alias("order"), "ngram", "c") for i, t in enumerate(tables)]
+    out = of_tables(tables, n, discount)
+    out.by_order = {n - i: t for i, t in enumerate(tables)}
+    out.source = wins, tables[0].select("ngram", "c")
+    return out
 
 
 def all_orders(wins: DataFrame, n: int) -> DataFrame:
@@ -93,11 +99,18 @@ def selected(num: DataFrame, only: DataFrame) -> DataFrame:
 
 def kneser_ney(wins: DataFrame, n: int, discount: float = DISCOUNT) -> KneserNey:
     """A model of windows of n tokens (column ngram)."""
-    level = wins.groupBy("ngram").agg(F.count("*").alias("c"))
+    level = top = wins.groupBy("ngram").agg(F.count("*").alias("c"))
     tables = [level.select(F.lit(n).cast("long").alias("order"), "ngram", "c")]
     for d in range(n - 1, 0, -1):
         level = level.groupBy(F.slice("ngram", 2, d).alias("ngram")).agg(F.count("*").alias("c"))
         tables.append(level.select(F.lit(d).cast("long").alias("order"), "ngram", "c"))
+    out = of_tables(tables, n, discount)
+    out.source = wins, top
+    return out
+
+
+def of_tables(tables: list[DataFrame], n: int, discount: float) -> KneserNey:
+    """A model of the counts of each order, the highest first."""
     num = reduce(DataFrame.unionByName, tables)
     parts = [t.groupBy("order", F.slice("ngram", 1, n - i - 1).alias("ctx")).agg(F.sum("c").alias("den"), F.count("*").alias("nz")) for i, t in enumerate(tables[:-1])]
     empty = tables[-1].where("false").select("order", F.col("ngram").alias("ctx"), F.col("c").alias("den"), F.col("c").alias("nz"))
@@ -116,15 +129,21 @@ def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
 
     A context that was never seen leaves the lower order's value.
     """
-    rows = wins.select("ngram").distinct()
     n, D = model.order, F.lit(model.discount)
+    own = model.source is not None and model.source[0] is wins  # the model's own windows come with their counts
+    rows = model.source[1].select("ngram", F.col("c").alias(f"num{n}")) if own else wins.select("ngram").distinct()
     for d in range(1, n + 1):
-        num = model.num.where(F.col("order") == d).select(F.col("ngram").alias(f"g{d}"), F.col("c").alias(f"num{d}"))
-        num = small(num) if d == 1 and model.is_stored else num  # words are few, and frequent ones would meet in one task
-        rows = rows.join(num, F.slice("ngram", n - d + 1, d) == F.col(f"g{d}"), "left").drop(f"g{d}")
+        of_order = model.by_order.get(d)
+        num = (model.num.where(F.col("order") == d) if of_order is None else of_order).select(F.col("ngram").alias(f"g{d}"), F.col("c").alias(f"num{d}"))
+        num = small(num) if d == 1 and of_order is not None else num  # words are few, and frequent ones would meet in one task
+        if not (own and d == n):
+            rows = rows.join(num, F.slice("ngram", n - d + 1, d) == F.col(f"g{d}"), "left").drop(f"g{d}")
         if d > 1:
-            ctx = model.ctx.where(F.col("order") == d).select(F.col("ctx").alias(f"x{d}"), F.col("den").alias(f"den{d}"), F.col("nz").alias(f"nz{d}"))
-            ctx = small(ctx) if d == 2 and model.is_stored else ctx
+            if of_order is None:
+                ctx = model.ctx.where(F.col("order") == d).select(F.col("ctx").alias(f"x{d}"), F.col("den").alias(f"den{d}"), F.col("nz").alias(f"nz{d}"))
+            else:
+                ctx = of_order.groupBy(F.slice("ngram", 1, d - 1).alias(f"x{d}")).agg(F.sum("c").alias(f"den{d}"), F.count("*").alias(f"nz{d}"))
+                ctx = small(written(ctx, "contexts")) if d == 2 else ctx
             rows = rows.join(ctx, F.slice("ngram", n - d + 1, d - 1) == F.col(f"x{d}"), "left").drop(f"x{d}")
     rows = rows.crossJoin(F.broadcast(model.meta.select("unigram_denominator")))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")

@@ -41,8 +41,9 @@ def benchmark_tokens(spark, d) -> DataFrame:
 
 
 def model(spark, d) -> tuple[ngram.KneserNey, DataFrame]:
-    wins = ngram.windows(written(cleaned(spark, d), "cleaned"), 3)
-    return ngram.kneser_ney(wins, 3).stored(), wins
+    """The trigram model of the corpus, and the windows to be scored."""
+    wins = ngram.windows(cleaned(spark, d), 3)
+    return ngram.kneser_ney(wins, 3), wins
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
