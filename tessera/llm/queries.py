@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, language_id, media, secret_scan, simhash, substring_dedup, token_binary, warc_revisit
+from . import bpe, decontaminate, filter_audit, html_extract, language_id, media, periodic_runs, secret_scan, sharding, simhash, substring_dedup, token_binary, warc_revisit
 from .common import table
 
 
@@ -21,5 +21,8 @@ QUERIES = {
     "op3_token_binary": _on("documents", token_binary.op3),
     "op8_telephony_audio": _on("documents", media.op8),
     "op10_tree_bpe": _on("documents", bpe.op10),
+    "op11_balanced_shards": _on("documents", sharding.op11),
+    "op12_periodic_runs": _on("documents", periodic_runs.op12),
+    "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
-ORACLES: dict[str, str] = {"op4_warc_revisits": warc_revisit.OP4_SQL}
+ORACLES: dict[str, str] = {"op4_warc_revisits": warc_revisit.OP4_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
