@@ -25,4 +25,4 @@ QUERIES = {
     "op12_periodic_runs": _on("documents", periodic_runs.op12),
     "op13_filter_audit": lambda spark, sf_dir: filter_audit.op13(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
-ORACLES: dict[str, str] = {"op4_warc_revisits": warc_revisit.OP4_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
+ORACLES: dict[str, str] = {"op4_warc_revisits": warc_revisit.OP4_SQL, "op11_balanced_shards": sharding.OP11_SQL, "op13_filter_audit": filter_audit.OP13_SQL}

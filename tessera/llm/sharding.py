@@ -86,3 +86,26 @@ def op11(spark, docs: DataFrame) -> DataFrame:
         F.col("doc.doc_id").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _crc_table() -> str:
+    """The 256 remainders of CRC-32, eight hexadecimal digits each."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(f"{n:08x}")
+    return "".join(out)
+
+
+#: For tables in which no id comes twice, and none is null more than once.
+OP11_SQL = rf"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+sums AS (SELECT *, (octet_length(t) + 1)::BIGINT AS size, coalesce(sum(octet_length(t) + 1) OVER (ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(octet_length(t) + 1) OVER () AS total FROM texts),
+dealt AS (SELECT *, ((2 * before + size) * {SHARDS} // (2 * total))::INT AS shard FROM sums)
+SELECT doc_id, size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(c >> 8, ('0x' || substr('{_crc_table()}', ((xor(c, b) & 255) * 8 + 1)::INT, 8))::BIGINT)), 4294967295)::BIGINT AS text_crc32,
+  'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM dealt
+"""

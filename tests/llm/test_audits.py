@@ -223,3 +223,14 @@ def test_each_state_is_visited_once(spark):
     assert all(r.removed == sum(not any(n % k == 0 for j, k in enumerate((2, 3, 5)) if r.state >> j & 1) and n % (2, 3, 5)[r.filter] == 0 for n in range(210)) for r in edges)
     got = A.audit(rows, ["x", "y", "z"], ["hot"])
     assert got.count() == 18 and got.where("step = 1").agg(F.max("redundant")).first()[0] == 0
+
+
+def test_op11_like_sql(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, None if i % 11 == 0 else "é x" * rnd.choice([0, 1, 30, 400])) for i in range(150)] + [(None, "last")]
+    df = spark.createDataFrame(rows, FORM)
+    df.write.parquet(f"{tmp_path}/documents")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    key = lambda r: (r[0] is None, r)
+    assert sorted((tuple(r) for r in S.op11(spark, df).collect()), key=key) == sorted(c.execute(S.OP11_SQL).fetchall(), key=key)

@@ -2,17 +2,20 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
 
 import corpus_pipeline
 from tessera.llm import decontaminate as D
 from tessera.llm import language_id as L
 from tessera.llm import secret_scan as Z
+from tessera.llm import stages as T
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LETTERS = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
@@ -193,3 +196,40 @@ def test_empty(spark, data):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, at).count() == 0
+
+
+def redacted(text, spans):
+    at, out = 0, ""
+    for s, _, _, e in spans:
+        if s >= at:
+            out += text[at:s] + T.MARK
+        at = max(at, e)
+    return out + text[at:]
+
+
+SPANS = "text string, found array<struct<start:long,rank:int,kind:string,end:long>>"
+
+
+@pytest.mark.parametrize("block", [1, 8, 4096])
+def test_redaction_like_a_loop(spark, monkeypatch, block):
+    """Overlaps, spans over several blocks, several that begin at one place, characters beyond 16 bits."""
+    monkeypatch.setattr(T, "BLOCK", block)
+    rnd, rows = random.Random(block), []
+    for _ in range(150):
+        t = "".join(rnd.choice("abé\n𝄞 ") for _ in range(rnd.randint(0, 60)))
+        at = {(rnd.randrange(len(t)), rnd.randint(1, 7)) for _ in range(rnd.randint(0, 12))} if t else ()
+        rows.append((t, [(s, k, "x", rnd.randint(s + 1, min(len(t), s + 30))) for s, k in sorted(at)]))
+    got = [r[0] for r in spark.createDataFrame(rows, SPANS).select(T.redacted(F.col("text"), F.col("found"))).collect()]
+    assert got == [redacted(*r) for r in rows]
+
+
+def test_redaction_of_five_million_characters(spark):
+    n = 300_000
+    text = "é" + "".join(f"{i:07d} aaaaaaaa" for i in range(n))
+    spans = [(1 + 16 * i, 1, "x", 10 + 16 * i) for i in range(n)]
+    df = spark.createDataFrame([(text, spans)], SPANS).cache()
+    df.count()
+    began = time.time()
+    got = df.select(T.redacted(F.col("text"), F.col("found"))).first()[0]
+    assert got == redacted(text, spans) and time.time() - began < 60
+    df.unpersist()
