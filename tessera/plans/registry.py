@@ -485,13 +485,30 @@ def sampled_log_probability(spark, d):
     return sampled.join(exact, (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s"))).select("doc_id", "sent_id", "logprob", "exact")
 
 
+def word_counts(rows: DataFrame, n: int) -> DataFrame:
+    """word, n of every word id below n; those that do not occur count once."""
+    seen = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return seen.unionByName(seen.sparkSession.range(n).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"))
+
+
 @query
 def bigram_network(spark, d):
+    """Loss a pair over two passes of a net trained by noise contrast."""
+    from tessera.operators import neural
+
+    rows, n = sampler_input(spark, d)
+    rows = written(rows, "sentences")
+    return neural.train_bigram(rows, word_counts(rows, n), hidden=8, epochs=2)[1]
+
+
+@query
+def bigram_network_scores(spark, d):
+    """Unnormalised scores of all sentences under that net after one pass."""
     from tessera.operators import neural
 
     rows, n = sampler_input(spark, d)
-    losses = neural.train_bigram(rows, n, hidden=8, epochs=2)[2]
-    return spark.createDataFrame(list(enumerate(losses)), "epoch long, loss double")
+    rows = written(rows, "sentences")
+    return rounded(neural.bigram_scores(rows, neural.train_bigram(rows, word_counts(rows, n), hidden=8, epochs=1)[0]), 6, "score")
 
 
 @query
@@ -500,8 +517,8 @@ def recurrent_network(spark, d):
     from tessera.operators import recurrent
 
     rows, n = sampler_input(spark, d)
-    seen = {r["w"]: r["n"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).toLocalIterator()}
-    net = recurrent.Net([seen.get(i, 1) for i in range(n)], hidden=8, direct=1 << 16)
+    seen = {r["word"]: r["n"] for r in word_counts(rows, n).toLocalIterator()}  # the net's own size
+    net = recurrent.Net([seen[i] for i in range(n)], hidden=8, direct=1 << 16)
     return spark.createDataFrame([(1, recurrent.one_pass(rows, net, 0.1, 64)[1])], "epoch long, loss double")
 
 

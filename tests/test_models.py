@@ -157,10 +157,56 @@ def test_huffman(arity):
     assert len(codes[0]) <= len(codes[-1])
 
 
-def test_network(spark):
-    rows = [(i, 0, [0, 1, 2, 0, 1, 2, 0, 1, 2]) for i in range(30)]
+def test_network(spark, monkeypatch):
+    rows = [(i, 0, [0, 1, 2, 0, 1, 2, 0, 1, 2]) for i in range(30)] + [(90, 0, []), (91, 0, [2])]
     df = spark.createDataFrame(rows, "doc_id long, sent_id long, words array<int>")
-    a, b, loss = neural.train_bigram(df.repartition(2), 3, hidden=4, epochs=6, rate=0.3, shards=2)
-    assert np.allclose(loss, neural.train_bigram(df.coalesce(1), 3, hidden=4, epochs=6, rate=0.3, shards=2)[2])
-    assert loss[-1] < loss[0] and abs(neural.next_words(a, b, 0).sum() - 1) < 1e-9
+    counts = spark.createDataFrame([(0, 90), (1, 90), (2, 91), (3, 5)], "word int, n long")
+    monkeypatch.setattr(neural.keyed, "TOKENS", 100)
+    weights, losses = neural.train_bigram(df.repartition(2), counts, hidden=4, epochs=6, rate=0.3)
+    loss = [r.loss for r in losses.orderBy("epoch").collect()]
+    again, other = neural.train_bigram(df.coalesce(1), counts, hidden=4, epochs=6, rate=0.3)
+    assert np.allclose(loss, [r.loss for r in other.orderBy("epoch").collect()], rtol=1e-9) and {r.pairs for r in losses.collect()} == {240}
+    a, b = neural.matrices(weights)
+    assert np.allclose(a, neural.matrices(again)[0]) and a.shape == (4, 4)
+    assert loss[-1] < loss[0] and abs(neural.next_words(a, b, 0).sum() - 1) < 1e-9 and neural.next_words(a, b, 0).argmax() == 1
     assert neural.generate(a, b, 0, 2, 1) == neural.generate(a, b, 0, 2, 1)
+    got = {r.doc_id: r for r in neural.bigram_scores(df, weights).collect()}
+    w = rows[0][2]
+    assert len(got) == 32 and math.isclose(got[0].score, sum(a[i] @ b[j] for i, j in zip(w, w[1:])) / math.log(10), rel_tol=1e-9) and (got[90].n, got[91].score) == (0, 0)
+
+
+def test_noise_is_drawn_by_its_shares(spark):
+    counts = spark.createDataFrame([(i, (i + 1) ** 2) for i in range(40)], "word int, n long")
+    ranges = neural.noise_ranges(counts, 0.75)
+    q = np.array([(i + 1) ** 1.5 for i in range(40)])
+    q /= q.sum()
+    rows = ranges.orderBy("word").collect()
+    assert np.allclose([r.q for r in rows], q) and np.allclose([r.high for r in rows], np.cumsum(q))
+    got = neural.drawn(ranges, 12, 7)
+    n = np.zeros(40)
+    for r in got.groupBy("word").sum("m").collect():
+        n[r[0]] = r[1]
+    assert n.sum() == 12 * neural.POOL and np.abs(n / n.sum() - q).max() < 0.004
+
+
+def test_steps_follow_the_gradient():
+    """One pair a step: the change is the slope of the contrast's log likelihood, by the times a row occurs in it."""
+    draw, x, y, q = np.random.default_rng(3), None, None, np.array([0.2, 0.3, 0.5])
+    x0, y0 = draw.normal(0, 1, (3, 4)), draw.normal(0, 1, (3, 4))
+
+    def value(x, y, js):
+        s = y[js] @ x[1] - np.log(2 * q[js])
+        p = 1 / (1 + np.exp(-s))
+        return np.log(p[0]) + np.log(1 - p[1:]).sum()
+
+    pool = np.array([2])
+    x, y = x0.copy(), y0.copy()
+    n, loss = neural.contrast([np.array([1, 0])], x, y, q, pool, 1e-3, 2, np.random.default_rng(1))
+    js = [0, 2, 2]
+    assert n == 1 and math.isclose(-loss, value(x0, y0, js), rel_tol=1e-9)
+    for z0, z, which in ((x0, x, 0), (y0, y, 1)):
+        for i in np.ndindex(z0.shape):
+            up = z0.copy()
+            up[i] += 1e-6
+            slope = (value(*((up, y0) if which == 0 else (x0, up)), js) - value(x0, y0, js)) / 1e-6
+            assert math.isclose(z[i] - z0[i], 1e-3 * slope / (2 if which and i[0] == 2 else 1), abs_tol=1e-7)
