@@ -11,10 +11,10 @@ text, each with its characters, tags and linked characters, and the elements aro
   or main element around it, if there is one, takes its place. Core lines of several articles make each of these articles a region if they hold
   nearly all, else the element around them.
 * Every line of a region stays, short ones too, but those whose elements name themselves as something else, and, where no article
-  element says what belongs to it, lists of links. A title above the region belongs to it.
+  element says what belongs to it, lists of links. There, a title above the region belongs to it, and so do content lines outside that are running text.
 
 Class and id values count by whole names or parts of names that stand for a box (`ad`, `site-footer`, `share-buttons`, not
-`notice-of-motion`), on containers, paragraphs and spans only, and not around an article or main element.
+`notice-of-motion`), on containers only (on paragraphs and their parts, if they name an advert), and not around an article or main element.
 
 Null or empty html, and pages without text, give the empty string and 0; broken or cut-off
 markup is read as far as it goes, and an unfinished tag at the end is no text. Work and memory are in proportion to
@@ -44,13 +44,17 @@ ASIDE = frozenset("aside dialog footer form menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class and id values of boilerplate, and words that may follow one in a name.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted related respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion discussions disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 BOXES = frozenset("area articles bar block body bottom box button buttons column container content feed footer form group header inner item items left link links list media message nav outer panel posts right row section slot stories text thread top unit widget wrap wrapper".split())
-#: Elements whose class and id values count.
-NAMED = frozenset("a article aside center div dl fieldset figure footer form header iframe ins li menu nav ol p section span table td tr ul".split())
-#: Elements whose text is an article's, by preference; and elements that may be a region.
+#: Those that can stand for nothing else, so they count on paragraphs and their parts, too.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored".split())
+PIECES = frozenset("a p span".split())
+#: Elements whose class and id values count: boxes.
+NAMED = frozenset("article aside center div dl fieldset figure footer form header iframe ins li menu nav ol section table td tr ul".split())
+#: Elements whose text is an article's, by preference; elements of running text; and elements that may be a region.
 ARTICLES = ("article", "main")
+PROSE = frozenset("blockquote dd figcaption h1 h2 h3 h4 h5 h6 p pre".split())
 CONTAINERS = frozenset("article body center details div fieldset html main section table td".split())
 P_ENDERS = BLOCKS - {"body", "html", "head", "td", "th", "tr", "caption", "option", "optgroup"}
 P_STOPS = ("article", "main", "section", "div", "td", "th", "li", "body", "blockquote", "table", "button", "object")
@@ -62,11 +66,11 @@ CAMEL = re.compile(r"([a-z])([A-Z])")
 PLAIN, NAMED_SO, SURELY = range(3)
 
 
-def names_a_box(value: str) -> bool:
+def names_a_box(value: str, hints: frozenset = HINTS) -> bool:
     """Does one of the names of a class or id value stand for something else than an article?"""
     for name in value.split():
         parts = [w.lower() for w in WORD.findall(CAMEL.sub(r"\1 \2", name))]
-        if parts and (parts[-1] in HINTS or len(parts) > 1 and parts[0] in HINTS and parts[1] in BOXES):
+        if parts and (parts[-1] in hints or len(parts) > 1 and parts[0] in hints and parts[1] in BOXES):
             return True
     return False
 
@@ -84,7 +88,7 @@ def mark(tag: str, attrs: list) -> int:
             return SURELY
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return SURELY
-        if name in ("class", "id") and tag in NAMED and names_a_box(value):
+        if name in ("class", "id") and (tag in NAMED and names_a_box(value) or tag in PIECES and names_a_box(value, ADVERTS)):
             got = SURELY if tag == "article" else NAMED_SO
     return got
 
@@ -262,8 +266,12 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     titled, first = [False] * len(p.tag), next(i for i, e in enumerate(where) if inside[e] and size[i])
     for e in range(1, len(p.tag)):
         titled[e] = titled[p.parent[e]] or p.tag[e] == "h1"
+    prose = [False] * len(p.tag)
+    for e in range(1, len(p.tag)):
+        prose[e] = p.tag[e] in PROSE or prose[p.parent[e]] and p.tag[e] not in BLOCKS
+    belongs = lambda i, e: inside[e] or titled[e] and i < first or content[i] and prose[e] and linked[i] < 0.5 * size[i]
     # a line that is nearly all links, and no content by its ratio, is a menu's
-    kept = [x for i, (x, e) in enumerate(zip(texts, where, strict=True)) if x and (inside[e] or titled[e] and i < first) and (core[i] or linked[i] < 0.8 * size[i])]
+    kept = [x for i, (x, e) in enumerate(zip(texts, where, strict=True)) if x and belongs(i, e) and (core[i] or linked[i] < 0.8 * size[i])]
     return "\n".join(kept)
 
 

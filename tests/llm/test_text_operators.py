@@ -54,6 +54,8 @@ ARTICLE = "<article><h1>T</h1><p>" + "long text " * 20 + "</p>{}</article>"
         ('<section class="notice-of-motion"><p>Motion</p></section>', "Motion"),
         ('<div class="tags-explained">Tags</div><h2 class="related">Related work</h2>', "Tags\nRelated work"),
         ('<div class="widget share-buttons">Share</div><p>a <span class="ad">b</span> c</p>', "a c"),
+        ('<p class="share">The market share rose.</p><p class="comment">A comment.</p><div class="replies"><p>I agree</p></div>', "The market share rose.\nA comment."),
+        ('<div class="discussion"><p>No</p></div><ul class="reply"><li>No</li></ul><p>end</p>', "end"),
         ("<footer>f</footer><form>g</form><aside>h</aside><p>end</p>", "end"),
         ('<header><h2>Head</h2></header><div class="ad-box">x</div>', "Head"),
     ],
@@ -62,6 +64,13 @@ def test_article_text_stays_whole(inner, text):
     assert H.extract(f"<body>{ARTICLE.format(inner)}</body>") == "T\n" + ("long text " * 20).strip() + "\n" + text
 
 
+def test_content_outside_of_the_region_stays():
+    long = ("long text " * 40).strip()
+    assert H.extract(f"<div><p>Short intro.</p><section><p>{long}</p></section><p>End.</p></div>").split("\n") == ["Short intro.", long, "End."]
+    assert H.extract(f"<body><p>Short intro.</p><table><tr><td>{long}</td></tr></table></body>").split("\n") == ["Short intro.", long]
+    assert H.extract(f"<body><div><a href=x>one</a> <a href=y>two</a></div><section><p>{long}</p></section><div>(c) site</div></body>") == long
+
+
 def test_all_articles_that_hold_content():
     one = ARTICLE.format("")
     assert H.extract(f"<div>x</div>{one}<nav>n</nav>{one}").split("\n") == ["T", ("long text " * 20).strip()] * 2
