@@ -18,7 +18,7 @@ has to hold it and no link is lost.
 
 A null text is empty; documents without words have fingerprint zero and are linked like
 others; repeated rows stay (one result row for each); a null id is never the smallest unless
-all are null; other columns are not read; an empty table gives an empty result.
+all are null; other columns are not read; an empty table gives an empty result. Texts of any length are hashed whole, in slices of rows.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ class Ring:
                 chain |= ((1 << (b - a)) - 1) << a
                 row.append([np.uint64((chain >> (64 * w)) & (2**64 - 1)) for w in range(words)])
             self.masks.append(row)
+        self.chains = {n: np.array([row[n] for row in self.masks], np.uint64) for n in (2, 3) if n < segments}
 
     def value(self, fps: np.ndarray, i: int) -> np.ndarray:
         """Segment i of fingerprints (rows of words)."""
@@ -148,15 +149,12 @@ class Ring:
                     out.append((head | second | bit)[zero])
         return np.concatenate(rows), np.concatenate(out)
 
-    def close(self, chain: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which pairs hold the budgets of chains of three and four segments from `chain` on, and the radius."""
+    def close(self, chain: np.ndarray | int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs hold the budgets of chains of three and four segments from `chain` on, and the radius. A pair that fails here holds them from another chain on, if it is within the radius."""
         diff = x ^ y
         ok = np.ones(len(diff), bool)
-        for n in (2, 3):
-            if n < self.m:
-                most = (n + 1) * self.t // self.m
-                mask = np.array([self.masks[i][n] for i in range(self.m)], np.uint64)[chain]
-                ok &= np.bitwise_count(diff & mask).sum(1, dtype=np.int64) <= most
+        for n, masks in self.chains.items():
+            ok &= np.bitwise_count(diff & masks[chain]).sum(1, dtype=np.int64) <= (n + 1) * self.t // self.m
         at = np.flatnonzero(ok)
         ok[at] = np.bitwise_count(diff[at]).sum(1, dtype=np.int64) <= self.t
         return ok
@@ -177,14 +175,14 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return moved, label[moved]
 
 
-def reached(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Breadth-first search over one bucket; what is reached leaves the search. Yields a row and the rows it reached."""
+def reached(fps: np.ndarray, ring: Ring, chain: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Breadth-first search over one bucket, that of a chain; what is reached leaves the search. Yields a row and the rows it reached."""
     left = np.arange(len(fps))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[i]).sum(1, dtype=np.int64) <= radius
+            near = ring.close(chain, fps[left], fps[i])
             if near.any():
                 hit = left[near]
                 yield i, hit
@@ -220,7 +218,7 @@ def spanning_links(rows: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray
         a.append(i)
         b.append(i + d)
     for s, n in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
-        for i, hit in reached(fps[s : s + n], ring.t):
+        for i, hit in reached(fps[s : s + n], ring, int(rows[s, 0] >> 48)):
             a.append(np.full(len(hit), s + i))
             b.append(s + hit)
     if not a or not sum(map(len, a)):

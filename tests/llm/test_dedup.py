@@ -289,3 +289,27 @@ def test_contamination_of_documents_shorter_than_an_item():
             if len(w) < len(v) and (sim := D.weighted(w, v, min(5, len(v)))) >= 0.8:
                 want.add((i, item, len(w), round(sim, 9)))
     assert got == want and len(want) > 20
+
+
+def test_no_pair_is_ruled_out_by_fingerprints():
+    """Rows of one bucket and like sizes are candidates, however far their fingerprints are; others are not."""
+    row = lambda node, size, bits: [7, 0, node, size, *[-1 if bits else 0] * N.KEPT]
+    rows = np.array([row(1, 10, 0), row(2, 10, 1), row(3, 12, 1), row(4, 13, 0)], np.int64)
+    a, b = N.all_pairs(rows, 0.8)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 2), (1, 3), (2, 3), (3, 4)]
+
+
+def test_chains_prune_large_buckets_and_lose_no_component():
+    """Over all buckets of all rows, links by chain budgets give the components of the full distance."""
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 63, (12, 1), dtype=np.int64).astype(np.uint64)
+    fps = np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (12, 3), dtype=np.int64).astype(np.uint64), axis=1)[:, None] for _ in range(60)])
+    ring = S.EXACT
+    own, bucket = ring.buckets(fps)
+    rows = np.stack([bucket.view(np.int64), np.zeros(len(own), np.int64), own, fps[own, 0].view(np.int64)], axis=1)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    assert (S.bucket_starts(rows)[1] > S.SHORT).any()
+    a, b = S.spanning_links(rows, ring)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps ^ fps[:, 0]) <= 4, 1))
+    label = lambda x, y: (lambda m: {**dict(zip(range(len(fps)), range(len(fps)))), **dict(zip(m[0].tolist(), m[1].tolist()))})(S.spanning(len(fps), np.asarray(x), np.asarray(y)))
+    assert label(a, b) == label(i, j)
