@@ -82,6 +82,8 @@ def ima_blocks(data: bytes, align: int) -> np.ndarray:
 
 def wav(data: bytes, tag: int, rate: int, bits: int, align: int = 0) -> bytes:
     """A mono WAV file."""
+    if len(data) >= (1 << 32) - 128:
+        raise ValueError("a WAV file holds less than 4 GB")
     align = align or bits // 8
     per = (align - 4) * 2 + 1 if tag == IMA_ADPCM else 1  # samples of a block
     fmt = struct.pack("<HHIIHH", tag, 1, rate, rate * align // per, align, bits)
@@ -93,8 +95,8 @@ def wav(data: bytes, tag: int, rate: int, bits: int, align: int = 0) -> bytes:
     body = b"fmt " + struct.pack("<I", len(fmt)) + fmt
     if tag != PCM:
         body += b"fact" + struct.pack("<II", 4, frames)
-    body += b"data" + struct.pack("<I", len(data) & 0xFFFFFFFF) + data + b"\0" * (len(data) & 1)
-    return b"RIFF" + struct.pack("<I", (4 + len(body)) & 0xFFFFFFFF) + b"WAVE" + body
+    body += b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
 def unwav(blob: bytes) -> tuple[int, int, int, memoryview]:
@@ -143,9 +145,12 @@ def doubled(x: np.ndarray) -> np.ndarray:
 
 
 def halved(x: np.ndarray) -> np.ndarray:
-    """Half the rate: the means of neighbouring pairs, rounded down, so results are exact; a last sample without a neighbour stays."""
-    x = x.astype(np.int32)
-    return ((x[::2] + np.append(x, x[-1:])[1::2][: len(x[::2])]) >> 1).astype(np.int16)
+    """Half the rate: a half-band filter of seven taps with the weights of doubled(), in integers, so results are exact; the ends are held."""
+    if not len(x):
+        return x.astype(np.int16)
+    p, n = np.pad(x.astype(np.int32), 3, "edge"), len(x)
+    y = (16 * p[3 : n + 3] + 9 * (p[2 : n + 2] + p[4 : n + 4]) - p[:n] - p[6 : n + 6] + 16) >> 5
+    return np.clip(y[::2], -32768, 32767).astype(np.int16)
 
 
 def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
