@@ -79,5 +79,5 @@ MORE = {
     "sentence_names": "SELECT name, left(name, 3) AS file, CAST(substr(name, 5) AS BIGINT) AS number FROM (SELECT left(rpad(source, 3, '0'), 3) || '.' || doc_id AS name FROM documents)",
     "ordered_steps": "SELECT step, n, CAST(CASE step WHEN 'full' THEN 3 WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 END AS BIGINT) AS place FROM (SELECT CASE o_orderpriority WHEN '5-LOW' THEN 'full' ELSE o_orderpriority END AS step, count(*) AS n FROM orders GROUP BY 1)",
     "binomials": "SELECT n_nationkey, n_regionkey, CAST(CASE WHEN n_regionkey > n_nationkey THEN 0 ELSE round(gamma(n_nationkey + 1) / gamma(n_regionkey + 1) / gamma(n_nationkey - n_regionkey + 1)) END AS BIGINT) AS sets FROM nation",
-    "sample_vectors": "SELECT l_orderkey, '[' || string_agg(CAST(v AS VARCHAR), ' ' ORDER BY l_linenumber, v) || ']' AS matlab, string_agg('(' || k || ',' || v || ')', '' ORDER BY l_linenumber, v) AS latex, round(avg(v), 9) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, v) AS k FROM (SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INT) AS v FROM lineitem WHERE l_orderkey % 10 = 0)) GROUP BY l_orderkey",
+    "sample_vectors": "SELECT l_orderkey, '[' || string_agg(CAST(v AS VARCHAR), ' ' ORDER BY l_linenumber, v) || ']' AS matlab, string_agg('(' || k || ',' || v || ')', '' ORDER BY l_linenumber, v) AS latex, round(avg(v), 9) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, v) AS k FROM (SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INT) AS v FROM lineitem)) GROUP BY l_orderkey",
 }
