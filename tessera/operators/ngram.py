@@ -124,12 +124,9 @@ def stingy(wins: DataFrame, words: DataFrame) -> DataFrame:
     return wins.join(allowed, F.element_at("ngram", -1) == F.col("of_word"), "left_semi")
 
 
-def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
-    """ngram, p, p1 of each different window: probability at the model's order and as a unigram.
-
-    A context that was never seen leaves the lower order's value.
-    """
-    n, D = model.order, F.lit(model.discount)
+def looked_up(model: KneserNey, wins: DataFrame) -> DataFrame:
+    """ngram of each different window, and what interpolated() needs: num, den and nz of each order, unigram_denominator."""
+    n = model.order
     own = model.source is not None and model.source[0] is wins  # the model's own windows come with their counts
     rows = model.source[1].select("ngram", F.col("c").alias(f"num{n}")) if own else wins.select("ngram").distinct()
     for d in range(1, n + 1):
@@ -145,7 +142,11 @@ def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
                 ctx = of_order.groupBy(F.slice("ngram", 1, d - 1).alias(f"x{d}")).agg(F.sum("c").alias(f"den{d}"), F.count("*").alias(f"nz{d}"))
                 ctx = small(written(ctx, "contexts")) if d == 2 else ctx
             rows = rows.join(ctx, F.slice("ngram", n - d + 1, d - 1) == F.col(f"x{d}"), "left").drop(f"x{d}")
-    rows = rows.crossJoin(F.broadcast(model.meta.select("unigram_denominator")))  # one row
+    return rows.crossJoin(F.broadcast(model.meta.select("unigram_denominator")))  # one row
+
+
+def interpolated(n: int, D: Column) -> tuple[Column, Column]:
+    """p and p1 of rows of looked_up() at a discount."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     p = p1 = zero("num1") / F.col("unigram_denominator")
     alive = F.lit(True)
@@ -153,7 +154,16 @@ def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
         alive = alive & (zero(f"den{d}") > 0)
         own = F.when(zero(f"num{d}") > 0, (zero(f"num{d}") - D) / zero(f"den{d}")).otherwise(0.0)
         p = F.when(alive, own + zero(f"nz{d}") * D / zero(f"den{d}") * p).otherwise(p)
-    return rows.select("ngram", p.alias("p"), p1.alias("p1"))
+    return p, p1
+
+
+def probabilities(model: KneserNey, wins: DataFrame) -> DataFrame:
+    """ngram, p, p1 of each different window: probability at the model's order and as a unigram.
+
+    A context that was never seen leaves the lower order's value.
+    """
+    p, p1 = interpolated(model.order, F.lit(model.discount))
+    return looked_up(model, wins).select("ngram", p.alias("p"), p1.alias("p1"))
 
 
 def laplace(cnt: DataFrame, n: int) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import bags, evaluate, hmm, lexicon, ngram, scores, tags
 from tessera.plans.registry import JOIN, benchmark_tokens, cleaned, known_words, labelings, model, query, rounded, sents, states, toks, vocab
+from tessera.plans.estimation_sql import ESTIMATION
 from tessera.plans.more_sql import MORE
 from tessera.plans.oracles import ORACLES
 from tessera.sources import corpus, streams
 
-ORACLES.update(MORE)
+ORACLES.update(MORE | ESTIMATION)
 
 
 def words_of(spark, d, name: str = "conversations"):

@@ -552,4 +552,4 @@ def kn_tag_prob(spark, d):
     return rounded(ngram.tag_probabilities(ngram.kneser_ney(wins, 3), both, wf, tf).withColumn("ngram", JOIN("ngram")), 9, "p")
 
 
-from tessera.plans import models, more  # noqa: E402,F401  register further queries
+from tessera.plans import estimation, models, more  # noqa: E402,F401  register further queries

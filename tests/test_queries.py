@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.plans.estimation_sql import ESTIMATION
 from tessera.plans.more_sql import MORE
 
 DATA = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["lexicon", "unknown_signatures", "conll_sentences", "kn_twosided_ctx", "score_correlation", "vocabulary", "document_filter", "bag_distances", "pairwise_prf", "variation_of_information", "hmm_transition_prob", "chunk_prob", "kn_meta", "document_numbers", "lm_interpolation", *MORE])
+@pytest.mark.parametrize("name", ["lexicon", "unknown_signatures", "conll_sentences", "kn_twosided_ctx", "score_correlation", "vocabulary", "document_filter", "bag_distances", "pairwise_prf", "variation_of_information", "hmm_transition_prob", "chunk_prob", "kn_meta", "document_numbers", "lm_interpolation", *ESTIMATION, *MORE])
 def test_like_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
