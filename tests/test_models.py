@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import bags, bayes, evaluate, lexicon, neural, ngram, sampling, scores
 
@@ -210,3 +211,38 @@ def test_steps_follow_the_gradient():
             up[i] += 1e-6
             slope = (value(*((up, y0) if which == 0 else (x0, up)), js) - value(x0, y0, js)) / 1e-6
             assert math.isclose(z[i] - z0[i], 1e-3 * slope / (2 if which and i[0] == 2 else 1), abs_tol=1e-7)
+
+
+def test_cleaning_sends_frequent_words_and_deals_the_others(spark, monkeypatch):
+    rows = [(d, i, [f"w{(7 * d + 3 * i + j * j) % 23}{'ing' * (j % 2)}" for j in range(5 + d)]) for d in range(6) for i in range(3)]
+    s = spark.createDataFrame(rows, "doc_id long, sent_id long, tokens array<string>")
+    t = s.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "word"))
+    lex = lexicon.lexicon(t, 4)
+    want = sorted(map(tuple, lexicon.joined(lexicon.clean(t, lex)).collect()))
+    assert any("UNK" in w for r in want for w in r[2]) and any("UNK" not in w for r in want for w in r[2])
+    for most in (200_000, 3, 0):
+        monkeypatch.setattr(lexicon, "SENT", most)
+        assert sorted(map(tuple, lexicon.clean_corpus(s, t).collect())) == want
+    twice = s.union(s.where("doc_id = 2"))  # sentences that share their ids are one
+    t = twice.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "word"))
+    assert sorted(map(tuple, lexicon.clean_corpus(twice, t).collect())) == sorted(map(tuple, lexicon.joined(lexicon.clean(t, lexicon.lexicon(t))).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_own_probabilities_are_those_looked_up(spark, n):
+    wins = ngram.windows(sents(spark), n)
+    m = ngram.kneser_ney(wins, n)
+    assert sorted(m.by_order) == list(range(1, n + 1))  # each order is written
+    same = lambda df: {tuple(r.ngram): (round(r.p, 12), round(r.p1, 12)) for r in df.collect()}
+    assert same(ngram.probabilities(m, wins)) == same(ngram.probabilities(m, wins.select("ngram")))
+
+
+@pytest.mark.parametrize("kind", ["bigram", "trigram"])
+def test_sentences_are_drawn_at_once_as_by_themselves(kind):
+    r, S, W, trigram = np.random.default_rng(3), 4, 9, kind == "trigram"
+    words = [r.integers(W, size=k) for k in (0, 1, 7, 2, 7, 40)]
+    states = [r.integers(S, size=len(w)) for w in words]
+    em, tr = r.random((S, W)), r.random((S + 1,) * (3 if trigram else 2))
+    for best in (False, True):
+        got = bayes.resample_all(words, states, em, tr, trigram, [bayes.rng(1, 2, i, 0).random(len(w)) for i, w in enumerate(words)], best)
+        assert [x.tolist() for x in got] == [bayes.resample(w, z, em, tr, trigram, bayes.rng(1, 2, i, 0), best).tolist() for i, (w, z) in enumerate(zip(words, states, strict=True))]
