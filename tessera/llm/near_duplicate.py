@@ -1,9 +1,10 @@
-"""Near-duplicates by word shingles: prefixes of sets bring candidates together, then an exact check.
+"""Near-duplicates by word shingles: SimHash with pigeonring filtering and prefixes of sets bring candidates together, then an exact check.
 
 Rows are linked if the Jaccard similarity of their sets of k-word shingles (A-Z lower-cased; fewer words
 make one shingle) is `similarity` or more; a group is what links connect.
 
 * Rows with the same set (told by 128 bits of its sorted hashes) are one node. Fingerprints have 256 bits (SimHash), each distinct shingle counted once.
+* The first 64 bits of the fingerprints go through the pigeonring of simhash.py: its buckets, its budgets of chains and its distance give candidates, too.
 * All sets are put in one order, shingles that are common in a sample of texts last. Two sets of n and m shingles that are
   as similar as asked share one of the first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1, whatever the order, so
   each node is sent to the buckets of these and each pair meets, at any length.
@@ -187,6 +188,16 @@ def between(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray
     return each_once(rows, a, b)
 
 
+def pigeonring(nodes: DataFrame, most: int = S.MOST) -> DataFrame:
+    """a, b: links that span what lies within the ring's radius of the first word (w0) of nodes' fingerprints."""
+
+    def send(fps):
+        i, bucket = S.EXACT.buckets(fps)
+        return i, bucket, fps[i].view(np.int64)
+
+    return S.links(nodes.select("node", "w0"), 1, ["w0"], send, lambda rows: S.spanning_links(rows, S.EXACT), most)
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Similarity of two sorted arrays of distinct hashes; two empty ones are alike."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -259,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         big = big.join(sizes, F.col("bucket") == F.col("of")).drop("of")
         parts = big.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("rows") / F.lit(PART))))
         pairs = pairs.unionByName(met(parts, payload, forests, 1 << 40), allowMissingColumns=True)
-    links = checked(pairs)
+    links = checked(pairs.select("a", "b").unionByName(pigeonring(nodes, most)))
     if large:
         roots = written(components(links), "roots").select(F.col("node").alias("of"), "root")
         grouped = big.join(roots, F.col("node") == F.col("of"), "left").withColumn("own", F.coalesce("root", "node")).drop("of", "root")

@@ -313,3 +313,15 @@ def test_chains_prune_large_buckets_and_lose_no_component():
     i, j = np.nonzero(np.triu(np.bitwise_count(fps ^ fps[:, 0]) <= 4, 1))
     label = lambda x, y: (lambda m: {**dict(zip(range(len(fps)), range(len(fps)))), **dict(zip(m[0].tolist(), m[1].tolist()))})(S.spanning(len(fps), np.asarray(x), np.asarray(y)))
     assert label(a, b) == label(i, j)
+
+
+def test_near_duplicates_go_through_the_pigeonring(spark, monkeypatch):
+    near = [0, 0b1111, 0b11110000_1111, (1 << 40) - 1, ((1 << 40) - 1) ^ 0b10001]
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(near)], "node long, w0 long")
+    got = {(min(r), max(r)) for r in map(tuple, N.pigeonring(nodes).collect())}
+    assert {x for p in got if max(p) < 3 for x in p} == {0, 1, 2} and (3, 4) in got and all((min(p) < 3) == (max(p) < 3) for p in got)
+    asked, own = [], N.pigeonring
+    monkeypatch.setattr(N, "pigeonring", lambda nodes, most: asked.append(nodes.count()) or own(nodes, most))
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, text.replace("w150 ", "zz ")), (3, "a b c d e f g")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3} and asked == [3]
