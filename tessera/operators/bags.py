@@ -22,6 +22,15 @@ def centroid(bags: DataFrame, key: str, *by: str) -> DataFrame:
     return got.select(*by, "word", F.floor(F.col("n") / F.col("bags") + 0.5).cast("long").alias("n")).where("n > 0")
 
 
+def centroid_of(docs: DataFrame, key: str, *by: str) -> DataFrame:
+    """centroid() of the bags of documents (`by`, tokens) whose keys are their own: words are counted by group at once."""
+    some = docs.where(F.size("tokens") > 0)
+    size = some.where(F.col(key).isNotNull()).groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(F.count("*").alias("bags"))
+    got = some.where(F.col(key).isNotNull()).select(*by, F.explode("tokens").alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    got = got.join(F.broadcast(size), [F.col(c) == F.col(f"of_{c}") for c in by])  # a row a group
+    return got.select(*by, "word", F.floor(F.col("n") / F.col("bags") + 0.5).cast("long").alias("n")).where("n > 0")
+
+
 def shared(bags: DataFrame, key: str) -> DataFrame:
     """a, b, least, near, near2: for bags that share a word, the sums of the lesser counts, of |x-y| - x - y, and of (x-y)^2 - x^2 - y^2."""
     x = bags.select(F.col(key).alias("a"), F.col("word").alias("w"), F.col("n").alias("x"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import lexicon
+from tessera.operators.store import written
+
 #: Characters of a word that the two kinds of networks keep, and words of a sentence.
 LONG_WORD, SHORT_WORD, LONGEST = 999, 99, 10_000
 
@@ -25,7 +28,15 @@ def sentence_ids(sents: DataFrame, vocab: DataFrame, convert: bool = False, reve
 
     A word outside the vocabulary (word_id, word) is -1 and sets `oov`; with `convert` it gets the id of <unk>.
     """
+    zero = F.array(F.lit(0).cast("long"))
     words = F.slice(F.reverse("tokens") if reverse else F.col("tokens"), 1, longest - 2)
+    vocab = written(vocab.select("word_id", "word"), "ids")
+    if not lexicon.repeated(sents) and vocab.count() == vocab.select("word").distinct().count():
+        unk = vocab.where("word = '<unk>'").agg(F.max("word_id").cast("long")).first()[0] if convert else None
+        ids = lexicon.numbered(sents.where(F.size("tokens") > 0).select("doc_id", "sent_id", words.alias("tokens")), vocab)
+        w = F.transform("words", lambda i: F.when(i < 0, -1 if unk is None else unk).otherwise(i).cast("long"))
+        per = ids.select("doc_id", "sent_id", w.alias("w"))
+        return per.select("doc_id", "sent_id", F.concat(zero, "w", zero).alias("ids"), F.array_contains("w", F.lit(-1).cast("long")).alias("oov"))
     rows = sents.select("doc_id", "sent_id", F.posexplode(words).alias("pos", "word"))
     ids = vocab.select(F.col("word").alias("of"), F.col("word_id").cast("long").alias("id"))
     got = rows.join(ids, F.col("word") == F.col("of"), "left")
@@ -34,7 +45,6 @@ def sentence_ids(sents: DataFrame, vocab: DataFrame, convert: bool = False, reve
         got = got.crossJoin(F.broadcast(unk)).withColumn("id", F.coalesce("id", "unk"))  # one row
     got = got.withColumn("id", F.coalesce("id", F.lit(-1)))
     per = got.groupBy("doc_id", "sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("w"))
-    zero = F.array(F.lit(0).cast("long"))
     return per.select("doc_id", "sent_id", F.concat(zero, "w", zero).alias("ids"), F.array_contains("w", F.lit(-1).cast("long")).alias("oov"))
 
 
