@@ -99,21 +99,20 @@ def segments(tokens: DataFrame) -> DataFrame:
 
 def chunked(sents: DataFrame) -> DataFrame:
     """doc_id, sent_id, chunks: the chunks of segments() in order, from sentences of `states` and `ends` (does a chunk end here?); no token moves."""
-    last = F.size("states") - 1
-    mark = F.zip_with("states", F.transform("ends", lambda e, i: F.when(i == last, "").when(e, "\n").otherwise("+")), lambda s, m: F.concat(s.cast("string"), m))
-    return sents.select("doc_id", "sent_id", F.split(F.array_join(mark, ""), "\n").alias("chunks"))
+    each = F.zip_with("states", "ends", lambda s, e: F.concat(s.cast("string"), F.when(e, "\n").otherwise("+")))
+    return sents.select("doc_id", "sent_id", F.split(F.rtrim(F.array_join(each, ""), F.lit("+\n")), "\n").alias("chunks"))
 
 
 def segments_of(sents: DataFrame) -> DataFrame:
     """segments() of such sentences."""
-    rows = chunked(sents).select("doc_id", "sent_id", F.posexplode("chunks").alias("chunk_id", "chunk"))
+    rows = chunked(sents).select("doc_id", "sent_id", F.posexplode_outer("chunks").alias("chunk_id", "chunk"))
     return rows.withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 def bigrams_of(sents: DataFrame) -> DataFrame:
     """chunk_bigrams() of such sentences."""
     pairs = F.transform("chunks", lambda c, i: F.struct(F.when(i == 0, ".").otherwise(F.get("chunks", i - 1)).alias("prev"), c.alias("chunk")))
-    return chunked(sents).select(F.explode(pairs).alias("x")).groupBy("x.prev", "x.chunk").agg(F.count("*").alias("n"))
+    return chunked(sents).select(F.explode_outer(pairs).alias("x")).groupBy("x.prev", "x.chunk").agg(F.count("*").alias("n"))
 
 
 def chunk_counts(segs: DataFrame) -> DataFrame:

@@ -66,3 +66,12 @@ def test_ids_of_sentences_that_share_theirs(spark, docs):
     assert {tuple(r.ids) for r in streams.sentence_ids(s, vocab, convert=True).where("doc_id = 3").collect()} == {(0, 1, 2, 0), (0, 2, 1, 2, 3, 0)}
     twice = streams.sentence_ids(s.unionByName(s), vocab)
     assert twice.count() == 5 and twice.where("doc_id = 0 AND sent_id = 2").first().ids == [0, -1, -1, 1, 1, 0]
+
+
+def test_sentences_are_padded_once(spark, docs):
+    """No filter works out windows or chunks before they are made: it would pad or join the sentence again for each word."""
+    s = corpus.sentences(docs).select("doc_id", "sent_id", "tokens")
+    wide = s.select("*", F.col("tokens").alias("words"), F.transform("tokens", F.length).alias("states"), F.transform("tokens", lambda w, i: i % 3 == 2).alias("ends"))
+    for df in (ngram.windows(s, 3), ngram.two_sided(s, 2), ngram.tagged_windows(wide, 3), hmm.segments_of(wide), hmm.bigrams_of(wide)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert not any("Filter" in x and ("array_repeat" in x or "array_join" in x) for x in lines)
