@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of, written
+from .common import discard, map_arrow, text_of, written
 
 # WAV format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -31,6 +31,8 @@ PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 FORMS, UNIT, STORED_RATE, RATE = (MULAW, ALAW, IMA_ADPCM), 64, 16000, 8000
 #: How hard the stored tables are compressed.
 LEVEL = 9
+#: Shares of the stored files whose PCM is on disk one after the other.
+SHARES = 4
 # The step table of IMA ADPCM and its index changes.
 IMA_STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -277,7 +279,16 @@ def pcm_features(df: DataFrame, keep: tuple[str, ...], pcm_col: str = "pcm") ->
 
 
 def op8(spark, docs: DataFrame) -> DataFrame:
-    """Texts stored as WAV files in the shared folder, read back, decoded to stored PCM, and that read back and described."""
+    """Texts stored as WAV files in the shared folder, read back, decoded to stored PCM, and that read back and described.
+
+    PCM takes twice the disk of the files, so they are decoded in SHARES of files of their table, one after the other; a share's PCM goes once it is described.
+    """
     files = written(encode_payload(docs), "media", blobs=True, level=LEVEL)
-    pcm = written(decode_audio(files, "doc_id", "media", keep=("n_bytes",)), "pcm", blobs=True, level=LEVEL)
-    return pcm_features(pcm, ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "source_format", "n_samples"))
+    paths, keep = sorted(files.inputFiles()), ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "source_format", "n_samples")
+    out = None
+    for share in [paths[i::SHARES] for i in range(min(SHARES, len(paths)))]:
+        pcm = written(decode_audio(spark.read.schema(files.schema).parquet(*share), "doc_id", "media", keep=("n_bytes",)), "pcm", blobs=True, level=LEVEL)
+        got = written(pcm_features(pcm, keep), "described")
+        discard(pcm)
+        out = got if out is None else out.unionByName(got)
+    return pcm_features(decode_audio(files, "doc_id", "media", keep=("n_bytes",)), keep) if out is None else out  # no files: no rows

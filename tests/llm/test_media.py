@@ -97,3 +97,28 @@ def test_payload_and_decoding(spark):
     assert out[1].error and out[3].error and out[4].error and out[2].error is None and out[2].n_samples == 0
     assert [r.feature is None for r in M.pcm_features(M.decode_audio(bad, "id", "media").orderBy("id"), ("id",)).orderBy("id").collect()] == [True, False, True, True]
     assert M.decode_audio(bad.where("false"), "id", "media").count() == 0
+
+
+def test_pcm_goes_once_it_is_described(spark, tmp_path, monkeypatch):
+    """All PCM is stored and read back, but never more than a share of it lies on disk."""
+    df = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(64)], "doc_id long, text string").repartition(8, "doc_id")
+    held, seen, write, drop = {}, [], M.written, M.discard
+
+    def spy(rows, name, **kw):
+        got = write(rows, name, **kw)
+        if name == "pcm":
+            held[got._tessera_path] = got.count()
+            seen.append(sum(held.values()))
+        return got
+
+    def dropped(*tables):
+        drop(*tables)
+        for t in tables:
+            seen.append(-held.pop(t._tessera_path))
+
+    monkeypatch.setattr(M, "written", spy)
+    monkeypatch.setattr(M, "discard", dropped)
+    got = M.op8(spark, df)
+    assert not held and -sum(x for x in seen if x < 0) == 64 and max(seen) < 40
+    assert sorted(r.doc_id for r in got.collect()) == list(range(64))
+    assert len({r.feature for r in got.collect()}) > 1 and all(r.feature.startswith("rate=8000;") for r in got.collect())
