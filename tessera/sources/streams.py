@@ -23,13 +23,14 @@ def word_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return lines.withColumn("words", word_stream(F.col(line_col), SHORT_WORD)).where(F.size("words") > 1)
 
 
-def sentence_ids(sents: DataFrame, vocab: DataFrame, convert: bool = False, reverse: bool = False, longest: int = LONGEST) -> DataFrame:
-    """doc_id, sent_id, ids, oov: word ids between two 0s, the first `longest` - 2 words of a sentence.
+def sentence_ids(sents: DataFrame, vocab: DataFrame, convert: bool = False, reverse: bool = False, longest: int | None = LONGEST) -> DataFrame:
+    """doc_id, sent_id, ids, oov: word ids between two 0s, the first `longest` - 2 words of a sentence, or all with None.
 
     A word outside the vocabulary (word_id, word) is -1 and sets `oov`; with `convert` it gets the id of <unk>.
     """
     zero = F.array(F.lit(0).cast("long"))
-    words = F.slice(F.reverse("tokens") if reverse else F.col("tokens"), 1, longest - 2)
+    words = F.reverse("tokens") if reverse else F.col("tokens")
+    words = words if longest is None else F.slice(words, 1, longest - 2)
     vocab = written(vocab.select("word_id", "word"), "ids")
     if not lexicon.repeated(sents) and vocab.count() == vocab.select("word").distinct().count():
         unk = vocab.where("word = '<unk>'").agg(F.max("word_id").cast("long")).first()[0] if convert else None

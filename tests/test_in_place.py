@@ -68,6 +68,17 @@ def test_ids_of_sentences_that_share_theirs(spark, docs):
     assert twice.count() == 5 and twice.where("doc_id = 0 AND sent_id = 2").first().ids == [0, -1, -1, 1, 1, 0]
 
 
+@pytest.mark.parametrize("name", ["net_sentence_ids"])
+def test_ids_of_a_long_sentence(spark, tmp_path, name):
+    """No word of a sentence goes, however many it has: the SQL has no longest sentence."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT CAST(1 AS BIGINT) AS doc_id, string_agg('w' || i % 30, ' ' ORDER BY i) || ' rare' AS text FROM range(12000) t(i)")
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = [(r.doc_id, r.sent_id, r.ids, r.oov) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    want = c.execute(f"SELECT doc_id, sent_id, ids, oov FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert len(want[0][2].split()) == 12003 and got == want
+
+
 def test_sentences_are_padded_once(spark, docs):
     """No filter works out windows or chunks before they are made: it would pad or join the sentence again for each word."""
     s = corpus.sentences(docs).select("doc_id", "sent_id", "tokens")
